@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .lang_ecoc import fit_on_documents, held_out, predict_languages
+from .sp_chunks import encode_and_decode
 from .simhash_trie import fingerprint_hex, simhash_groups
 from .url_filter import judge_urls
 
@@ -40,6 +42,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids_column=None).drop("text")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
