@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .bitplane_tokens import CHUNKS, read_documents, write_chunks
+from .common import shared_dir, table
 from .lang_ecoc import fit_on_documents, held_out, predict_languages
 from .sp_chunks import encode_and_decode
 from .simhash_trie import fingerprint_hex, simhash_groups
@@ -52,6 +54,12 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_chunks(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark.read.schema(CHUNKS).parquet(path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
