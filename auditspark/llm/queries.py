@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bitplane_tokens import CHUNKS, read_documents, write_chunks
 from .common import shared_dir, table
+from .extend_shard import assign_shards
 from .lang_ecoc import fit_on_documents, held_out, predict_languages
 from .sp_chunks import encode_and_decode
 from .simhash_trie import fingerprint_hex, simhash_groups
@@ -54,6 +55,11 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return assign_shards(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "shard_bytes", "oversized")
+
+
 def op9_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_chunks(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
