@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann_tree import build_index, search
 from .bitplane_tokens import CHUNKS, read_documents, write_chunks
 from .common import shared_dir, table
 from .extend_shard import assign_shards
@@ -45,6 +46,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search(build_index(vectors), vectors.where(F.col("id") % 50 == 0), k=5)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids_column=None).drop("text")
