@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .ann_tree import build_index, search
 from .bitplane_tokens import CHUNKS, read_documents, write_chunks
+from .cgk_decontam import find_leaks
 from .chat_tree import as_chain, format_paths, read_loss_texts, read_turns, reply_paths
 from .common import shared_dir, table
 from .extend_shard import assign_shards
@@ -111,6 +112,12 @@ def op9_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark.read.schema(CHUNKS).parquet(path))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks alone: a document that has none has no row."""
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.edits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
