@@ -52,21 +52,21 @@ def _parents(nodes: DataFrame) -> DataFrame:
 
 
 def _doubled(links: DataFrame, most_rounds: int) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
-    """depth and total of every node; the pointer tables of each round; nodes that reach no root, if any."""
+    """depth and total of every node; the pointer tables of each round; nodes that reach no root, if any.
+
+    A node that has reached its root is set aside, so round k joins only nodes deeper than 2^k.
+    """
     state = materialize(links.select(*NODE, "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "replies")
-    jumps = []
+    settled, active, jumps = state.where("up IS NULL"), state.where("up IS NOT NULL"), []
     for _ in range(most_rounds):
-        if not state.where("up IS NOT NULL").limit(1).count():
-            return state, jumps, None
-        jumps.append(state.where("up IS NOT NULL").select(*NODE, "up"))
-        far = state.where("c = 1").select(F.col("t").alias("ft"), F.col("n").alias("fn"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("total").alias("further"))
-        joined = state.join(far, (F.col("t") == F.col("ft")) & (F.col("up") == F.col("fn")), "left")
-        state = materialize(
-            joined.select(*NODE, F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("further", F.lit(0.0))).alias("total")),
-            "replies",
-        )
-    lost = state.where("up IS NOT NULL").select(*NODE)
-    return state, jumps, lost if lost.limit(1).count() else None
+        if not active.limit(1).count():
+            return settled, jumps, None
+        jumps.append(active.select(*NODE, "up"))
+        far = settled.union(active).where("c = 1").select(F.col("t").alias("ft"), F.col("n").alias("fn"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("total").alias("further"))
+        joined = active.join(far, (F.col("t") == F.col("ft")) & (F.col("up") == F.col("fn")))
+        after = materialize(joined.select(*NODE, F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("further")).alias("total")), "replies")
+        settled, active = settled.union(after.where("up IS NULL")), after.where("up IS NOT NULL")
+    return settled.union(active), jumps, active.select(*NODE) if active.limit(1).count() else None
 
 
 def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: str | None = None, branches: int | None = 1) -> DataFrame:
