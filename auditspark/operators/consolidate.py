@@ -23,7 +23,7 @@ def similar_pairs(items: DataFrame, least: float = 0.7) -> DataFrame:
     parts = 8
     rows = items.withColumn("category", category_of(F.col("category")))
     a = rows.select("category", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.col("id").alias("a"), F.col("confidence").alias("conf_a"), F.col("embedding").alias("e_a"))
-    b = rows.select(F.col("category").alias("cat_b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part_b"), F.col("id").alias("b"), F.col("confidence").alias("conf_b"), F.col("embedding").alias("e_b"))
+    b = rows.select(F.col("category").alias("cat_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part_b"), F.col("id").alias("b"), F.col("confidence").alias("conf_b"), F.col("embedding").alias("e_b"))
     first = (F.col("conf_a") > F.col("conf_b")) | ((F.col("conf_a") == F.col("conf_b")) & (F.col("a") < F.col("b")))
     pairs = a.join(b, (F.col("category") == F.col("cat_b")) & (F.col("part") == F.col("part_b")) & first)
     return pairs.select("category", "a", "b", "conf_a", "conf_b", F.round(guarded_cosine(F.col("e_a"), F.col("e_b")), 6).alias("similarity")).where(F.col("similarity") >= least)

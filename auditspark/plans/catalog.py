@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, retrieval, vouchers  # noqa: F401
+from . import files, graphs, relational, retrieval, vouchers  # noqa: F401
 from .registry import QUERIES, SQL
 
 
