@@ -49,6 +49,9 @@ def chinese_amount(c: Column, mode: str = "correct") -> Column:
     digits, units = _map(DIGITS), _map(UNITS)
     whole = F.regexp_extract(s, "^([^元圆圓]*)", 1)
     rest = F.regexp_extract(s, "[元圆圓](.*)$", 1)
+    if mode != "compat":  # an amount below one yuan
+        below = ~s.rlike("[元圆圓]") & s.rlike("[角分]")
+        whole, rest = F.when(below, "").otherwise(whole), F.when(below, s).otherwise(rest)
     chars = F.regexp_extract_all(whole, F.lit("(?s)."), 0)
     if mode == "compat":
         step = lambda t, ch: F.when(F.try_element_at(digits, ch).isNotNull(), t + F.try_element_at(digits, ch)).when(F.try_element_at(units, ch).isNotNull(), F.greatest(t, F.lit(1)) * F.try_element_at(units, ch)).otherwise(t)

@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trigram_similarity
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a table in the cluster's shared folder (spark.checkpoint.dir), so that lineage does not grow with the rounds."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="auditspark-")
         context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a table in the shared folder, so that lineage does not grow with the rounds and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
