@@ -21,15 +21,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import with_fresh
 
 MARK = "▁"
-#: Distinct words in a task's table: some 200 bytes each.
-TABLE_WORDS = 1_000_000
+#: Distinct words in a task's table: some 250 bytes each.
+TABLE_WORDS = 300_000
+#: Rows that are encoded before they leave the task.
+SLICE_ROWS = 256
 
 
 def words_are_independent(model: sentencepiece.SentencePieceProcessor) -> bool:
@@ -95,25 +99,33 @@ def encode_and_decode(docs: DataFrame, model_file: str, text: str = "text", tabl
 
     ids have the begin and end ids; the decoded text is the library's decode(ids).
     """
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * bool(ids_column)
+    new = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | ({ids_column: T.ArrayType(T.IntegerType())} if ids_column else {})
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new.items()])
+    at = docs.columns.index(text)
 
-    @F.pandas_udf(fields)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_file, table_words)
         begin, end = table._bytes([table.model.bos_id()]), table._bytes([table.model.eos_id()])
-        for texts in batches:
-            out = []
-            for ids in table.encode(texts):
-                ids = begin + ids + end
-                numbers = np.frombuffer(ids, dtype="<u4")
-                decoded = table.model.decode(numbers.tolist())
-                row = (len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                out.append((*row, numbers.astype(np.int32)) if ids_column else row)
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * bool(ids_column)])
-
-    found = with_fresh(docs, {"__encoded": run(F.col(text))})
-    names = {n: F.col(f"__encoded.{n}") for n in ("n_tokens", "ids_sha256", "decoded_sha256")}
-    return with_fresh(found, names | ({ids_column: F.col("__encoded.ids")} if ids_column else {})).drop("__encoded")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                counts, digests, decoded, offsets, ids_of = [], [], [], [0], []
+                for ids in table.encode(part.column(at).to_pylist()):
+                    ids = begin + ids + end
+                    numbers = np.frombuffer(ids, dtype="<i4")
+                    counts.append(len(numbers))
+                    digests.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(hashlib.sha256(table.model.decode(numbers.tolist()).encode("utf-8")).hexdigest())
+                    offsets.append(offsets[-1] + len(numbers))
+                    ids_of.append(numbers)
+                made = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                if ids_column:
+                    made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids_of), pa.int32())))
+                old = [part.column(i) for i, c in enumerate(batch.schema.names) if c in kept]
+                yield pa.RecordBatch.from_arrays(old + made, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode(frame: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
