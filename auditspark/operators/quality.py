@@ -49,8 +49,9 @@ QC = {"min_kb": 3, "min_side": 100, "min_ratio": 0.2, "max_ratio": 8.0, "min_var
 
 
 def qc_issues(size_kb: Column, width: Column, height: Column, variance: Column, limits: dict = QC) -> Column:
-    """The reasons against an image, in order; none for a valid one. Unknown sizes mean that it cannot be read."""
-    ratio = width / height
+    """The reasons against an image, in order; none for a valid one. Unknown sizes mean that it cannot be read; without height there is
+    no ratio."""
+    ratio = width / F.nullif(height, F.lit(0))
     return F.array_compact(F.array(
         F.when(size_kb < limits["min_kb"], "file_too_small"), F.when(width.isNull() | height.isNull(), "corrupt"), F.when(F.least(width, height) < limits["min_side"], "too_small"),
         F.when((ratio < limits["min_ratio"]) | (ratio > limits["max_ratio"]), "odd_ratio"), F.when(variance < limits["min_variance"], "blank"),

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coverage, source_label
+from ..functions.text import coverage, source_label, trigrams
 from ..functions.vector import cosine, l2_distance, literal
 
 RRF_K = 60
@@ -70,6 +70,24 @@ def graph_search(chunks: DataFrame, entities: DataFrame, edges: DataFrame, words
     return chunks.join(ids, "id").orderBy("id").limit(k).select("id", "content", F.lit(0.85).alias("similarity"))
 
 
+def trigram_join(names: DataFrame, column: str, least: float = 0.3) -> DataFrame:
+    """a, b, similarity of distinct values a < b that share `least` of their trigrams or more; nulls take no part.
+
+    Values meet on trigrams and not all with all. Of a value's trigrams, from the rarest on, only so many are joined on that
+    one of them must be shared by any value as similar as that; so frequent trigrams are hardly ever joined on.
+    """
+    own = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct().withColumn("grams", trigrams(F.col("name")))
+    listed = own.select("name", F.explode("grams").alias("gram"))
+    counts = listed.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = listed.join(counts, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
+    need = F.size("ranked") - F.ceil(F.size("ranked") * least - 1e-9) + 1
+    keys = ranked.select("name", F.explode(F.transform(F.slice("ranked", F.lit(1), need.cast("int")), lambda x: x["gram"])).alias("gram"))
+    met = keys.toDF("a", "gram").join(keys.toDF("b", "gram_b"), (F.col("gram") == F.col("gram_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    full = met.join(own.toDF("a", "g_a"), "a").join(own.toDF("b", "g_b"), "b")
+    similarity = F.size(F.array_intersect("g_a", "g_b")) / F.size(F.array_union("g_a", "g_b"))
+    return full.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+
+
 def archived_search(knowledge: DataFrame, query: list[float], k: int = 5, above: float = 0.5) -> DataFrame:
     """The k nearest, of which those with a similarity above the bound are returned."""
     found = knowledge.where(F.col("embedding").isNotNull()).withColumn("similarity", F.round(1 - l2_distance(F.col("embedding"), literal(query)), 6))

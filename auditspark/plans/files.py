@@ -16,30 +16,34 @@ def md5_dups(spark, d):
     return quality.mark_duplicates(files, "md5", "doc_id").select("doc_id", "first_id", "is_duplicate")
 
 
-HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(list_slice(embedding, {0}, {1}), lambda x: (x > 0)::BIGINT)), lambda a, b: a * 2 + b)"
-H = f"h AS (SELECT vec_id AS id, {HASH.format(1, 24)} AS h FROM embeddings)"
+H = "h AS (SELECT vec_id AS id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 25), lambda i: (embedding[i]::DOUBLE + embedding[i + 24]::DOUBLE + embedding[i + 40]::DOUBLE > 0)::BIGINT)), lambda a, b: a * 2 + b) AS h FROM embeddings)"
+
+
+def _hashes(spark, d):
+    """id, h: the 64 components of a vector folded into 24, a bit for the sign of each."""
+    e = lambda i: F.element_at("embedding", i).cast("double")
+    folded = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: e(i) + e(i + 24) + e(i + 40))
+    return v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), sign_bits(folded).alias("h"))
 
 
 @query(f"WITH {H} SELECT id, h FROM h")
 def sign_hash(spark, d):
-    return v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), sign_bits(F.slice("embedding", 1, 24)).alias("h"))
+    return _hashes(spark, d)
 
 
-@query("SELECT vec_id AS id, list_reduce(list_prepend(0::BIGINT, list_transform(e, lambda x: (x > m)::BIGINT)), lambda a, b: a * 2 + b) AS h FROM (SELECT vec_id, e, list_sum(e) / 16 AS m FROM (SELECT vec_id, list_slice(embedding, 1, 16)::DOUBLE[] AS e FROM embeddings))")
+@query("SELECT id, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS h FROM (SELECT vec_id AS id, list_reduce(list_prepend(0::HUGEINT, list_transform(e, lambda x: (x > m)::HUGEINT)), lambda a, b: a * 2 + b) AS u FROM (SELECT vec_id, e, list_sum(e) / len(e) AS m FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)))")
 def average_hash(spark, d):
-    return v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), above_mean_bits(F.slice("embedding", 1, 16)).alias("h"))
+    return v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), above_mean_bits(F.col("embedding")).alias("h"))
 
 
 @query(f"WITH {H}, k AS (SELECT h, min(id) AS id, h >> 16 AS bucket FROM h GROUP BY h) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM k a JOIN k b ON a.bucket = b.bucket AND a.id < b.id WHERE bit_count(xor(a.h, b.h)) < 5")
 def near_dup_pairs(spark, d):
-    h = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), sign_bits(F.slice("embedding", 1, 24)).alias("h"))
-    return quality.near_duplicate_pairs(h, 5, 48)
+    return quality.near_duplicate_pairs(_hashes(spark, d), 5, 48)
 
 
 @query()
 def near_dup_greedy(spark, d):
-    h = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), sign_bits(F.slice("embedding", 1, 24)).alias("h"))
-    return quality.greedy_near_duplicates(h, 5, 48)
+    return quality.greedy_near_duplicates(_hashes(spark, d), 5, 48)
 
 
 ISSUES = "list_filter([CASE WHEN p_retailprice / 300 < 3 THEN 'file_too_small' END, CASE WHEN p_size % 17 = 0 THEN 'corrupt' END, CASE WHEN p_size % 17 > 0 AND least(p_size * 10, p_partkey % 900) < 100 THEN 'too_small' END, CASE WHEN p_size % 17 > 0 AND p_partkey % 900 > 0 AND (p_size * 10 / (p_partkey % 900)::DOUBLE < 0.2 OR p_size * 10 / (p_partkey % 900)::DOUBLE > 8) THEN 'odd_ratio' END, CASE WHEN p_partkey % 7 * 10 < 50 THEN 'blank' END], lambda x: x IS NOT NULL)"
@@ -47,18 +51,17 @@ ISSUES = "list_filter([CASE WHEN p_retailprice / 300 < 3 THEN 'file_too_small' E
 
 def _images(spark, d):
     w = F.when(F.col("p_size") % 17 > 0, F.col("p_size") * 10)
-    height = F.nullif(F.when(F.col("p_size") % 17 > 0, F.col("p_partkey") % 900), F.lit(0))
-    fallback = F.when(F.col("p_size") % 17 > 0, F.lit(0))
-    issues = quality.qc_issues(F.col("p_retailprice") / 300, w, F.coalesce(height, fallback), F.col("p_partkey") % 7 * 10)
-    return v.table(spark, d, "part").where(F.col("p_partkey") % 900 > 0).select("p_partkey", "p_name", issues.alias("issues"))
+    height = F.when(F.col("p_size") % 17 > 0, F.col("p_partkey") % 900)
+    issues = quality.qc_issues(F.col("p_retailprice") / 300, w, height, F.col("p_partkey") % 7 * 10)
+    return v.table(spark, d, "part").select("p_partkey", "p_name", issues.alias("issues"))
 
 
-@query(f"SELECT p_partkey, {ISSUES}::VARCHAR AS issues, len({ISSUES}) = 0 AS valid FROM part WHERE p_partkey % 900 > 0")
+@query(f"SELECT p_partkey, {ISSUES}::VARCHAR AS issues, len({ISSUES}) = 0 AS valid FROM part")
 def qc_rules(spark, d):
     return _images(spark, d).select("p_partkey", F.concat(F.lit("["), F.array_join("issues", ", "), F.lit("]")).alias("issues"), (F.size("issues") == 0).alias("valid"))
 
 
-@query(f"SELECT issue, count(*) AS n FROM (SELECT unnest({ISSUES}) AS issue FROM part WHERE p_partkey % 900 > 0) GROUP BY 1")
+@query(f"SELECT issue, count(*) AS n FROM (SELECT unnest({ISSUES}) AS issue FROM part) GROUP BY 1")
 def issue_breakdown(spark, d):
     return quality.qc_report(_images(spark, d))
 

@@ -28,10 +28,12 @@ def confusion_pairs(spark, d):
     return p.join(x, "a").join(y, "b").orderBy("a", "b").limit(5).select("a_name", "b_name")
 
 
-@query(f"WITH {v.GRAPH} SELECT DISTINCT dst AS id FROM edges WHERE src % 10 = 3 UNION SELECT DISTINCT src FROM edges WHERE dst = 1000002")
+@query(f"WITH {v.GRAPH}, seeds AS (SELECT id FROM entities WHERE name LIKE '%3') SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM seeds) UNION SELECT src FROM edges WHERE dst IN (SELECT id FROM seeds)")
 def neighbours_distinct(spark, d):
-    e = v.edges(spark, d)
-    return e.where("src % 10 = 3").select(F.col("dst").alias("id")).union(e.where("dst = 1000002").select("src")).distinct()
+    """Of all entities whose name ends in 3."""
+    e, seeds = v.edges(spark, d), v.entities(spark, d).where(F.like("name", F.lit("%3"))).select("id")
+    down = e.join(seeds, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"))
+    return down.union(e.join(seeds, F.col("dst") == F.col("id"), "left_semi").select("src")).distinct()
 
 
 @query("SELECT p_name, list(DISTINCT p_brand ORDER BY p_brand)::VARCHAR AS brands, count(*) AS n FROM part GROUP BY 1")

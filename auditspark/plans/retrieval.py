@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import keywords, trigram_similarity
+from ..functions.text import keywords
 from ..functions.vector import literal
 from ..operators import search
 from . import views as v
@@ -80,21 +80,19 @@ def history_search(spark, d):
     return scored.orderBy(F.desc("similarity"), "conv_id", "turn").limit(10)
 
 
-@query("SELECT doc_id, list_slice(list_distinct_ordered, 1, 10)::VARCHAR AS words FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]{2,}') AS w FROM documents WHERE length(text) < 3000))")
+@query("SELECT doc_id, list_slice(list_distinct_ordered, 1, 10)::VARCHAR AS words FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]{2,}') AS w FROM documents))")
 def keyword_tokens(spark, d):
-    rows = v.table(spark, d, "documents").where(F.length("text") < 3000)
-    return rows.select("doc_id", F.concat(F.lit("["), F.array_join(keywords(F.col("text")), ", "), F.lit("]")).alias("words"))
+    return v.table(spark, d, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(keywords(F.col("text")), ", "), F.lit("]")).alias("words"))
 
 
 GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
-@query(f"WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format('p_name')} AS g FROM n) SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.p_name < b.p_name AND split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2)")
+@query(f"WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format('p_name')} AS g FROM n) SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.p_name < b.p_name WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.3")
 def trigram_pairs(spark, d):
+    """Distinct names whose trigram similarity is 0.3 or more."""
     names = v.table(spark, d, "part").select("p_name").distinct()
-    kind = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(2))
-    a, b = names.toDF("a"), names.toDF("b")
-    return a.join(b, (kind("a") == kind("b")) & (F.col("a") < F.col("b"))).select("a", "b", F.round(trigram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return search.trigram_join(names, "p_name", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()

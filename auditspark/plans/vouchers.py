@@ -118,10 +118,10 @@ def clean_text(spark, d):
     return v.table(spark, d, "documents").select("doc_id", T.clean_text(F.replace("text", F.lit("the"), F.lit("【图片：x】"))).alias("cleaned"))
 
 
-@query("SELECT doc_id, (contains(t, 'STEP') AND length(t) < 150) OR (length(t) > 0 AND c = 0 AND length(t) < 100) OR (length(t) >= 20 AND c / greatest(length(t), 1) < 0.1) AS garbage FROM (SELECT doc_id, t, length(regexp_replace(t, '[^一-鿿]', '', 'g')) AS c FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN left(text, 60) WHEN 1 THEN repeat('审计准则', 10) || left(text, 30) ELSE 'STEP ' || repeat('审', 60) END AS t FROM documents))")
+@query("SELECT doc_id, (contains(t, 'STEP') AND length(t) < 150) OR (length(t) > 0 AND c = 0 AND length(t) < 100) OR (length(t) >= 20 AND c / greatest(length(t), 1) < 0.1) AS garbage FROM (SELECT doc_id, t, length(regexp_replace(t, '[^一-鿿]', '', 'g')) AS c FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN repeat('审计准则', (length(text) // 20)::BIGINT) || text ELSE 'STEP ' || repeat('审', 60) END AS t FROM documents))")
 def garbage_flag(spark, d):
     k = F.col("doc_id") % 3
-    t = F.when(k == 0, F.left("text", F.lit(60))).when(k == 1, F.concat(F.repeat(F.lit("审计准则"), 10), F.left("text", F.lit(30)))).otherwise(F.concat(F.lit("STEP "), F.repeat(F.lit("审"), 60)))
+    t = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.repeat(F.lit("审计准则"), F.floor(F.length("text") / 20).cast("int")), "text")).otherwise(F.concat(F.lit("STEP "), F.repeat(F.lit("审"), 60)))
     return v.table(spark, d, "documents").select("doc_id", T.is_garbage(t).alias("garbage"))
 
 
