@@ -8,7 +8,7 @@ on in the next chunk. Chunks are rows of a Parquet table, so that any store that
 can be read without the others.
 
 Texts are encoded with the tokenizers library. For byte-level BPE of the usual splitting pattern, each distinct word is encoded
-once a task by the library's model and its ids are looked up from then on; texts that hold characters on whose class two regex
+once a Python worker by the library's model and its ids are looked up from then on; texts that hold characters on whose class two regex
 libraries might not agree, or an added token, and all texts for any other tokenizer, are encoded whole by the library.
 
 Defined cases: a null text is empty and yields the end id alone; rows of one doc_id are ordered by text; a null doc_id comes
@@ -21,6 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,12 @@ class WordTable:
         return b"".join(map(self.table.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def word_table(tokenizer_file: str, table_words: int) -> WordTable:
+    """The table of this Python worker, which its tasks use one after the other."""
+    return WordTable(tokenizer_file, table_words)
+
+
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
     """The planes of unsigned 32-bit ids, the least significant first."""
     octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -142,7 +149,7 @@ def write_chunks(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], CHUNKS).schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = WordTable(tokenizer_file, table_words), np.array([end_id], dtype="<u4").tobytes()
+        table, end = word_table(tokenizer_file, table_words), np.array([end_id], dtype="<u4").tobytes()
         rows = ((d.as_py(), table.encode(t.as_py()) + end) for b in batches for d, t in zip(b.column(0), b.column(1)))
         for row in _chunk_writer(TaskContext.get().partitionId(), chunk_ids, bits)(rows):
             yield pa.RecordBatch.from_pylist([row], schema=schema)
