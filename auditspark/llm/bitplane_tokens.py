@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -38,7 +39,8 @@ ZSTD_LEVEL = 3
 CHUNKS = "file_no int, chunk_no int, first_id long, n_ids int, plane_bytes array<int>, planes binary, first_doc long, doc_ids array<long>, doc_starts array<int>, goes_on boolean"
 
 # The splitting pattern of byte-level BPE for texts without a character of ODD, and the bytes that it shows as themselves.
-WORDS = re.compile(r"""'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # all letters among the characters that are not ODD
+WORDS = re.compile(rf"""'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^{LETTERS}0-9\t\n\x0b\x0c\r ]+|\s+(?!\S)|\s+""")
 ODD = re.compile("[^\t\n\x0b\x0c\r -~¡-¬®-±´-¸º»¿-ɏ‐-‧€]")
 SHOWN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -69,8 +71,10 @@ class WordTable:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode("utf-8").decode("latin-1").translate(self.characters)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        plain = word.isascii() and word.isprintable()
+        shown = word.replace(" ", chr(self.characters[32])) if plain else word.encode("utf-8").decode("latin-1").translate(self.characters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
