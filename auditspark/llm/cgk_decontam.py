@@ -4,8 +4,9 @@ Texts are rows of lower-cased words. The CGK random walk reads a row of words: i
 moves on by a random bit of (j, word). Rows that differ in few edits have walks that differ in few steps, so edit distance
 becomes Hamming distance. Items of about one length form a class; a document's windows of that size start at every word. In each
 of `repeats` independent walks a few sampled steps of the embedding make a key, and a window is a candidate for the items with
-the same key. The number of repeats is calibrated on the driver with randomly edited items until their recall reaches the
-target. Candidates are verified by the exact edit distance in words, over the whole text around them: an item leaks if some
+the same key. The number of repeats is calibrated on the driver, for each class by itself, with items that have as many random
+edits as are allowed, until their recall reaches the target. A class that does not reach it in MOST_REPEATS, and every class if
+the target is 1 (TARGET_RECALL), is searched exactly instead: an item of e allowed edits is cut into e + 1 pieces, of which a match holds at least one as it is. Candidates are verified by the exact edit distance in words, over the whole text around them: an item leaks if some
 part of the document is at most `max_rate` * its words edits away.
 
 Only windows that could match are embedded: of their words at most as many as edits are allowed may be words of no item, and
@@ -33,7 +34,8 @@ MAX_RATE = 0.2
 MIN_WORDS = 5
 SAMPLED_STEPS = 4
 MOST_REPEATS = 64
-TARGET_RECALL = 0.97
+#: Below 1, walks calibrated to this share; at 1, pieces, which miss nothing.
+TARGET_RECALL = 1.0
 BLOCK_ITEMS = 20_000
 #: A word is telling if it is in at most this share of a block's items, or in at most three.
 TELLING_SHARE = 0.02
@@ -124,7 +126,7 @@ class LeakIndex:
         rng = np.random.default_rng(seed)
         items_with = np.bincount(np.concatenate([np.unique(w) for w in self.items]), minlength=len(self.vocabulary) + 1) if rows else np.zeros(1)
         self.telling = (items_with > 0) & (items_with <= max(3, TELLING_SHARE * len(rows)))
-        needs = np.array([int(self.telling[w].sum()) - e for w, e in zip(self.items, self.edits)], dtype=np.int64)
+        self.needs = needs = np.array([int(self.telling[w].sum()) - e for w, e in zip(self.items, self.edits)], dtype=np.int64)
         self.classes = []
         lengths = np.array([len(w) for w in self.items], dtype=np.int64)
         at = MIN_WORDS
@@ -134,12 +136,55 @@ class LeakIndex:
                 own = np.flatnonzero((lengths >= at) & (lengths <= top) & (needs >= least) & (needs <= most))
                 if len(own):
                     made = self._class(at, int(max_rate * top), own, rng)
-                    self.classes.append(made | {"need": int(needs[own].min()), "reach": top + int(max_rate * top)})
+                    self.classes.append(made | {"own": own, "pieces": None, "need": int(needs[own].min()), "reach": top + int(max_rate * top)})
             at = top + 1
-        self.repeats = MOST_REPEATS
-        self.repeats = self._calibrated(recall, max_rate, rng)
         for c in self.classes:
-            c["keys"], c["begun"] = c["keys"][: self.repeats], c["begun"][: self.repeats]
+            repeats = self._calibrated(c, recall, rng) if recall < 1 else MOST_REPEATS + 1
+            if repeats > MOST_REPEATS:
+                c["pieces"], repeats = self._pieces(c["own"]), 0
+            c["keys"], c["begun"] = c["keys"][:repeats], c["begun"][:repeats]
+        self.repeats = max((len(c["keys"]) for c in self.classes), default=0)
+
+    @staticmethod
+    def _grams(words: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words."""
+        h = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
+        for j in range(n):
+            h = (h ^ words[j : len(words) - n + 1 + j].astype(np.uint64)) * np.uint64(PRIME)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def _pieces(self, own: np.ndarray) -> list[tuple]:
+        """For each length of piece: the hashes, ascending, and whose they are and where they stand in the item."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for i in own.tolist():
+            n, parts = len(self.items[i]), min(self.edits[i] + 1, len(self.items[i]))
+            for k in range(parts):
+                at, stop = k * n // parts, (k + 1) * n // parts
+                found.setdefault(stop - at, []).append((int(self._grams(self.items[i][at:stop], stop - at)[0]), i, at))
+        out = []
+        for n, rows in sorted(found.items()):
+            rows.sort()
+            out.append((n, np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))
+        return out
+
+    def _piece_hits(self, pieces: list[tuple], words: np.ndarray, stop: int, foreign: np.ndarray, telling: np.ndarray) -> list[np.ndarray]:
+        """Rows of item and start of those whose piece stands in words[:stop] and that the counts around it do not rule out."""
+        out, sizes, edits = [], np.array([len(w) for w in self.items]), np.array(self.edits)
+        for n, keys, owners, offsets in pieces:
+            places = np.flatnonzero(foreign[n : stop + 1] == foreign[: max(0, stop + 1 - n)])
+            found = self._grams(words[:stop], n)[places]
+            lo, many = np.searchsorted(keys, found), np.searchsorted(keys, found, side="right")
+            many -= lo
+            hit = np.flatnonzero(many)
+            size = many[hit]
+            k = np.repeat(lo[hit], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            i, start = owners[k], np.repeat(places[hit], size) - offsets[k]
+            first, last = np.clip(start - edits[i], 0, len(words)), np.clip(start + sizes[i] + edits[i], 0, len(words))
+            own = last - first - (foreign[last] - foreign[first]) >= sizes[i] - edits[i]
+            own &= telling[last] - telling[first] >= self.needs[i]
+            out.append(np.stack([i[own], np.maximum(start[own], 0)], axis=1))
+        return out
 
     def _class(self, low: int, edits: int, own: np.ndarray, rng: np.random.Generator) -> dict:
         steps = 2 * low
@@ -181,12 +226,15 @@ class LeakIndex:
             at += c["bits"][t, j // 63][w] >> np.int64(j % 63) & 1
         return starts, keys
 
-    def _candidates(self, words: np.ndarray, stop: int, rep_of: dict | None = None) -> dict[int, list[tuple[int, int]]]:
+    def _candidates(self, words: np.ndarray, stop: int, classes: list[dict] | None = None, rep_of: dict | None = None) -> dict[int, list[tuple[int, int]]]:
         """item -> (start, stop) of what to verify in words[:stop]; beyond, words is padded with words of no item."""
         foreign = np.concatenate((np.zeros(1, np.int32), np.cumsum(words == 0, dtype=np.int32)))
         telling = np.concatenate((np.zeros(1, np.int32), np.cumsum(self.telling[words], dtype=np.int32)))
         pairs = []
-        for c in self.classes:
+        for c in self.classes if classes is None else classes:
+            if c["pieces"] is not None:
+                pairs += self._piece_hits(c["pieces"], words, stop, foreign, telling)
+                continue
             starts = np.flatnonzero(telling[c["reach"] : stop + c["reach"]] - telling[:stop] >= c["need"]) if c["need"] > 0 else np.arange(stop)
             starts = starts[foreign[starts + c["low"]] - foreign[starts] <= c["edits"]]
             if not len(starts):
@@ -215,28 +263,29 @@ class LeakIndex:
                 spans.append((lo, hi))
         return out
 
-    def _calibrated(self, recall: float, max_rate: float, rng: np.random.Generator, trials: int = 600) -> int:
-        """Repeats with which randomly edited items (up to max_rate) are candidates in the share `recall` of the trials."""
-        if not self.items:
-            return 0
-        gap = np.zeros(400 + 6 * max(map(len, self.items)), dtype=np.int32)
-        chosen, rows = rng.integers(0, len(self.items), trials).tolist(), [gap]
+    def _calibrated(self, c: dict, recall: float, rng: np.random.Generator, trials: int = 400) -> int:
+        """Repeats with which items of the class, with all the edits that are allowed, are found in the share `recall` of the
+        trials; MOST_REPEATS + 1 if none does."""
+        gap = np.zeros(2 * c["reach"] + 2, dtype=np.int32)
+        chosen, rows = rng.choice(c["own"], trials).tolist(), [gap]
         for i in chosen:
-            words, e = self.items[i].tolist(), int(rng.integers(0, self.edits[i] + 1))
-            for _ in range(e):
+            words = self.items[i].tolist()
+            for _ in range(self.edits[i]):
                 p, kind = int(rng.integers(0, max(1, len(words)))), int(rng.integers(0, 3))
                 words[p : p + (kind != 1)] = [] if kind == 2 else [int(rng.choice([0, rng.integers(1, len(self.vocabulary) + 1)]))]
             rows += [np.array(words, dtype=np.int32), gap]
         begins = np.cumsum([len(a) + len(b) for a, b in zip(rows[::2], [np.zeros(0), *rows[1::2]])])
         every, reps = np.concatenate(rows), {}
-        self._candidates(every, len(every) - len(gap), reps)
+        self._candidates(every, len(every) - len(gap), [c], reps)
         first = [MOST_REPEATS] * trials
         for (i, start), t in reps.items():
             trial = int(np.searchsorted(begins, start + len(gap) // 2, side="right")) - 1
-            if 0 <= trial < trials and chosen[trial] == i:
-                first[trial] = min(first[trial], t)
+            if 0 <= trial < trials and chosen[trial] == i and t < first[trial]:
+                e, n = self.edits[i], len(self.items[i])
+                if edit_distance_within(self.items[i].tolist(), every[max(0, start - e) : start + n + 2 * e].tolist()) <= e:
+                    first[trial] = t
         first.sort()
-        return min(MOST_REPEATS, first[min(trials - 1, int(np.ceil(recall * trials)) - 1)] + 1)
+        return first[min(trials - 1, int(np.ceil(recall * trials)) - 1)] + 1
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Words as numbers of the items' vocabulary from 1 on; 0 for all others."""

@@ -101,3 +101,32 @@ def test_odd_rows(spark, monkeypatch):
     assert got == [(1, []), (2, []), (3, [(1, 0), (2, 0)]), (4, [(1, 0), (2, 0)]), (5, [(6, 0)]), (5, [(6, 0)])]
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.drop_contaminated(frame, none).count() == 6 and D.find_leaks(frame.limit(0), none).collect() == []
+
+
+def test_recall_at_the_most_edits_of_short_and_long_items(spark):
+    """Items of each length by themselves, with all the edits that are allowed: easy trials do not make up for hard ones."""
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, say(n)) for i, n in enumerate([*[5, 9] * 10, *[15, 24, 59] * 10, *[110, 150] * 10])]
+    docs, lengths = [], {}
+    for i, item in items:
+        for _ in range(10):
+            edited = list(item)
+            for _ in range(int(D.MAX_RATE * len(item))):
+                p = rng.randrange(len(edited))
+                edited[p : p + rng.choice([0, 1, 1])] = rng.choice([[], say(1)])
+            lengths.setdefault(len(item), []).append((len(docs), i))
+            docs.append((len(docs), " ".join([*say(30), *edited, *say(30)])))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for found, least in ((D.find_leaks(frame, bench), 1), (D.find_leaks(frame, bench, recall=0.97), 0.94)):
+        got = {(r.doc_id, x.item_id) for r in found.collect() for x in r.leaks}
+        for n, pairs in lengths.items():
+            assert sum(p in got for p in pairs) >= least * len(pairs), n
+
+
+def test_pieces_miss_nothing(monkeypatch):
+    monkeypatch.setattr(D, "MOST_REPEATS", 0)
+    docs, items = corpus(5)
+    index = D.LeakIndex(items)
+    got = {(d, i): e for (d, _), one in zip(docs, index.of_texts([t for _, t in docs])) for i, e in one}
+    assert got == truth(docs, items) and index.repeats == 0 and len(got) > 80
