@@ -208,19 +208,27 @@ def _ssn(m: Column, key: str, undo: bool) -> Column:
     return _let(F.transform(F.split(m, "-"), lambda x: x.cast("long")), of)
 
 
-def _phone(m: Column, key: str, undo: bool) -> Column:
+def _phone(m: Column, key: str, undo: bool, any_plan: bool = False) -> Column:
+    """any_plan: a number with +1 that does not meet the numbering plan is mapped too. The first digits of area code and exchange
+    stay 0 or 1, or 2 to 9, as they are, so numbers that meet the plan and those that do not are permuted apart."""
+
     def of(d: Column) -> Column:
         plus = m.startswith("+")
         code = F.when(~plus, "").when(d.startswith("1"), "1").otherwise(F.coalesce(F.nullif(F.regexp_extract(m, r"^\+(\d{1,3})(?=\D)", 1), F.lit("")), F.substr(d, F.lit(1), F.lit(2))))
         return _let(F.struct(d.alias("d"), code.alias("code"), F.substr(d, F.length(code) + 1).alias("own"), (~plus | (code == "1")).alias("american")), mapped)
 
     def mapped(w: Column) -> Column:
-        lead = _ints(2, 0, 0, 2, 0, 0, 0, 0, 0, 0)
-        nanp = feistel(F.zip_with(_numbers(w["own"]), lead, lambda x, y: x - y), _ints(8, 10, 10, 8, 10, 10, 10, 10, 10, 10), "phone", key, undo)
+        at = F.sequence(F.lit(0), F.lit(9))
+        high = F.transform(at, lambda i: i.isin(0, 3) & (F.get(_numbers(w["own"]), i) >= 2))
+        lead = F.transform(high, lambda x: F.when(x, 2).otherwise(0).cast("long"))
+        radices = F.zip_with(at, high, lambda i, x: F.when(~i.isin(0, 3), 10).when(x, 8).otherwise(2).cast("long"))
+        nanp = feistel(F.zip_with(_numbers(w["own"]), lead, lambda x, y: x - y), radices, "phone", key, undo)
         other = feistel(_numbers(w["own"]), _repeat(10, F.length(w["own"])), "phone", key, undo)
         weave = lambda new: _weave(m, F.concat(w["code"], _joined(new)))
-        american = F.when(w["own"].rlike(r"^[2-9]\d{2}[2-9]\d{6}$"), weave(F.zip_with(nanp, lead, lambda x, y: x + y)))
-        return F.when(w["american"], american).when(F.length(w["d"]).between(8, 15) & (F.length(w["own"]) >= 4), weave(other))
+        ten = w["own"].rlike(r"^[2-9]\d{2}[2-9]\d{6}$") | (F.lit(any_plan) & (w["code"] == "1") & (F.length(w["own"]) == 10))
+        american = F.when(ten, weave(F.zip_with(nanp, lead, lambda x, y: x + y)))
+        strict = w["american"] if not any_plan else w["american"] & ((w["code"] == "") | (F.length(w["own"]) == 10))
+        return F.when(strict, american).when(F.length(w["d"]).between(8, 15) & (F.length(w["own"]) >= 4), weave(other))
 
     return _let(_digits(m), of)
 
@@ -228,18 +236,21 @@ def _phone(m: Column, key: str, undo: bool) -> Column:
 KINDS = (("email", EMAIL, _email), ("credential", CREDENTIAL, _credential), ("iban", IBAN, _iban), ("ip", IPV4, _ip), ("date", DATE.replace("\\1", "[/.]"), _date), ("ssn", SSN, _ssn), ("phone", PHONE, _phone), ("card", CARD, _card))
 
 
-def _one(m: Column, key: str, undo: bool) -> Column:
+def _one(m: Column, key: str, undo: bool, any_plan: bool = False) -> Column:
     """kind and pseudonym of a match; the match itself, without a kind, if it does not validate."""
     whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
-    found = F.coalesce(*[F.when(whole(pattern), F.struct(F.lit(kind).alias("kind"), maps(m, key, undo).alias("out"))) for kind, pattern, maps in KINDS])
+    found = F.coalesce(*[F.when(whole(pattern), F.struct(F.lit(kind).alias("kind"), maps(m, key, undo, *[any_plan] * (kind == "phone")).alias("out"))) for kind, pattern, maps in KINDS])
     return _let(found, lambda f: F.struct(F.when(f["out"].isNotNull(), f["kind"]).alias("kind"), F.coalesce(f["out"], m).alias("out")))
 
 
-def pseudonymize(docs: DataFrame, key: str, text: str = "text", undo: bool = False) -> DataFrame:
-    """docs with the text's personal data replaced, and pii_kinds: the kind of each replacement, in order of the text."""
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", undo: bool = False, any_plan: bool = False) -> DataFrame:
+    """docs with the text's personal data replaced, and pii_kinds: the kind of each replacement, in order of the text.
+
+    any_plan: numbers with +1 that do not meet the North American plan are replaced too; undo needs the same.
+    """
     matches = docs.withColumn("__matches", F.regexp_extract_all(F.col(text), F.lit(ANY), 0))
     some = F.size("__matches") > 0
-    mapped = matches.withColumn("__mapped", F.when(some, F.transform("__matches", lambda m: _one(m, key, undo))))
+    mapped = matches.withColumn("__mapped", F.when(some, F.transform("__matches", lambda m: _one(m, key, undo, any_plan))))
     changed = F.exists("__mapped", lambda x: x["kind"].isNotNull())
     pieces = F.zip_with(F.split(F.col(text), ANY, -1), "__mapped", lambda gap, x: F.concat(gap, F.coalesce(x["out"], F.lit(""))))
     new = F.when(F.coalesce(changed, F.lit(False)), F.array_join(pieces, "")).otherwise(F.col(text))

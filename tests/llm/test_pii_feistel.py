@@ -87,3 +87,20 @@ def test_several_in_one_text_extra_columns_and_no_rows(spark):
     assert r.pii_kinds == ["email", "ip", "ip", "card"] * 500 and "4111111111111112" in r.text and "1.2.3.4" not in r.text
     assert len(set(re.findall(r"from (\S+) and (\S+);", r.text))) == 1
     assert P.pseudonymize(docs.limit(0), KEY).collect() == []
+
+
+def test_numbers_with_plus_one_outside_the_plan_are_mapped(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 366 055 9807", "+1 555 1234", "+1 (366) 555-9807", "+12345678901"]
+    new, kinds = run(spark, texts, any_plan=True)
+    assert kinds == [["phone"]] * len(texts) and all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(texts, new))
+    assert run(spark, new, any_plan=True, undo=True)[0] == texts and new[4] == run(spark, texts[4:5])[0][0]
+    met = lambda x: re.sub(r"\D", "", x)[1] > "1" and re.sub(r"\D", "", x)[4] > "1"
+    assert [met(x) for x in texts if len(x) > 11] == [met(x) for x in new if len(x) > 11]  # those of ten digits behind +1
+
+
+def test_queries_leave_no_phone_in_clear(spark, tmp_path):
+    from auditspark.llm import queries
+
+    spark.createDataFrame([(1, "call +1 (017) 555-7713 now")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = queries.op5_pii_feistel(spark, str(tmp_path)).first()
+    assert "555-7713" not in row.text and row.pii_kinds == ["phone"]
