@@ -1,42 +1,51 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are rows of lower-cased words. The CGK random walk reads a row of words: in step j it puts out the word it stands on and
-moves on by a random bit of (j, word). Rows that differ in few edits have walks that differ in few steps, so edit distance
-becomes Hamming distance. Items of about one length form a class; a document's windows of that size start at every word. In each
-of `repeats` independent walks a few sampled steps of the embedding make a key, and a window is a candidate for the items with
-the same key. The number of repeats is calibrated on the driver, for each class by itself, with items that have as many random
-edits as are allowed, until their recall reaches the target. A class that does not reach it in MOST_REPEATS, and every class if
-the target is 1 (TARGET_RECALL), is searched exactly instead: an item of e allowed edits is cut into e + 1 pieces, of which a match holds at least one as it is. Candidates are verified by the exact edit distance in words, over the whole text around them: an item leaks if some
-part of the document is at most `max_rate` * its words edits away.
+Texts are rows of lower-cased words; in scripts written without spaces each character is a word. The CGK random walk reads a row
+of words: in step j it puts out the word it stands on and moves on by a random bit of (j, word). Rows that differ in few edits
+have walks that differ in few steps, so edit distance becomes Hamming distance. Items of about one length form a class; a
+document's windows of that size start at every word. In each of a number of independent walks a few sampled steps of the
+embedding make a key, and a window is a candidate for the items with the same key.
+
+The number of walks is calibrated for each class by itself, with items that have as many random edits as are allowed, until
+their recall reaches TARGET_RECALL; recall is then measured on other trials (`leak_classes` returns it). A class that does not
+get there in MOST_REPEATS walks, and every class if the target is 1, is searched exactly instead: an item of e allowed edits is
+cut into e + 1 pieces, of which a match holds at least one as it is.
+
+Candidates are verified by the exact edit distance in words: an item leaks if some part of the document is at most `max_rate` *
+its words edits away (so items of fewer than five words must be there word for word), and `edits` is the least over the whole
+document.
 
 Only windows that could match are embedded: of their words at most as many as edits are allowed may be words of no item, and
 at least as many must be telling words (of few items) as the item has beyond the edits. These counts lose no match.
 
-Items are taken in blocks of BLOCK_ITEMS that are broadcast; documents are read once per block and not shuffled. Items of
-fewer than MIN_WORDS words say too little to be found and are left out.
+Items are dealt into blocks of about BLOCK_ITEMS; each block's index is built in a task and kept as a row of a table. One block
+at a time is broadcast, documents are read once for each and not shuffled.
 
-Defined cases: null and empty texts leak nothing; repeated items are each reported; rows of null item_id or text are left out;
-of several places of one item in a document the one with the fewest edits counts. Columns of the same name are replaced.
+Defined cases: null and empty texts leak nothing; repeated items are each reported; rows of null item_id or text, and items
+without a word, are left out; of several places of one item in a document the one with the fewest edits counts. Columns of the
+same name are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fresh
+from .common import materialize, with_fresh
 
 MAX_RATE = 0.2
-MIN_WORDS = 5
 SAMPLED_STEPS = 4
-MOST_REPEATS = 64
-#: Below 1, walks calibrated to this share; at 1, pieces, which miss nothing.
-TARGET_RECALL = 1.0
-BLOCK_ITEMS = 20_000
+MOST_REPEATS = 128
+#: The share of passages with all the edits that are allowed which the walks of each class find; at 1 pieces are used alone.
+TARGET_RECALL = 0.98
+TRIALS = 400
+BLOCK_ITEMS = 10_000
 #: A word is telling if it is in at most this share of a block's items, or in at most three.
 TELLING_SHARE = 0.02
 #: Bytes of text whose words are hashed at a time, and words whose windows are looked at together.
@@ -45,8 +54,9 @@ BATCH_WORDS = 1 << 19
 
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-#: Size of the tables of hashed beginnings of keys.
-KEY_BITS = 1 << 15
+#: First bytes of three-byte characters of U+3000 to U+9FFF, which are words of their own.
+LONE = np.zeros(256, dtype=bool)
+LONE[0xE3:0xEA] = True
 PRIME = 0x9E3779B97F4A7C15
 
 
@@ -67,6 +77,10 @@ class WordHasher:
         inside = np.concatenate(([False], WORD_BYTE[octets], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, stops = edges[::2], edges[1::2]
+        if (lone := np.flatnonzero(LONE[octets])).size:
+            cuts = np.concatenate((starts, lone, np.minimum(lone + 3, len(octets))))
+            starts = np.unique(cuts[inside[1:][cuts]])  # what lies before a cut ends there
+            stops = np.minimum(np.append(starts[1:], len(octets)), stops[np.searchsorted(stops, starts, side="right")])
         self._grow(len(octets))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((octets.astype(np.uint64) + np.uint64(1)) * self.power[: len(octets)])))
         h = (sums[stops] - sums[starts]) * self.inverse[starts]
@@ -116,7 +130,7 @@ class LeakIndex:
     def __init__(self, items: list[tuple[int, str]], max_rate: float = MAX_RATE, recall: float = TARGET_RECALL, seed: int = 42):
         hasher = WordHasher()
         rows = [(i, hasher.words(t)) for i, t in items]
-        rows = [(i, w) for i, w in rows if len(w) >= MIN_WORDS]
+        rows = [(i, w) for i, w in rows if len(w)]
         self.vocabulary = np.unique(np.concatenate([w for _, w in rows])) if rows else np.zeros(0, dtype=np.uint64)
         self.maybe = np.zeros(1 << 18, dtype=bool)  # a first look before the search
         self.maybe[(self.vocabulary >> np.uint64(46)).astype(np.int64)] = True
@@ -124,26 +138,27 @@ class LeakIndex:
         self.items = [np.searchsorted(self.vocabulary, w).astype(np.int32) + 1 for _, w in rows]
         self.edits = [int(max_rate * len(w)) for w in self.items]
         rng = np.random.default_rng(seed)
+        #: A random number for each word; the step bits are taken from its products with random odd numbers.
+        self.drawn = rng.integers(0, 1 << 63, len(self.vocabulary) + 1, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         items_with = np.bincount(np.concatenate([np.unique(w) for w in self.items]), minlength=len(self.vocabulary) + 1) if rows else np.zeros(1)
         self.telling = (items_with > 0) & (items_with <= max(3, TELLING_SHARE * len(rows)))
         self.needs = needs = np.array([int(self.telling[w].sum()) - e for w, e in zip(self.items, self.edits)], dtype=np.int64)
         self.classes = []
         lengths = np.array([len(w) for w in self.items], dtype=np.int64)
-        at = MIN_WORDS
+        at = 1
         while len(lengths) and at <= lengths.max():
             top = max(at, int(at * 1.25))
             for least, most in ((4, 1 << 30), (2, 3), (-(1 << 30), 1)):
                 own = np.flatnonzero((lengths >= at) & (lengths <= top) & (needs >= least) & (needs <= most))
                 if len(own):
-                    made = self._class(at, int(max_rate * top), own, rng)
-                    self.classes.append(made | {"own": own, "pieces": None, "need": int(needs[own].min()), "reach": top + int(max_rate * top)})
+                    c = {"low": at, "top": top, "edits": int(max_rate * top), "own": own, "pieces": None, "need": int(needs[own].min()), "reach": top + int(max_rate * top), "keys": [], "begun": [], "sampled": [], "odd": []}
+                    self.classes.append(c)
+                    self._calibrate(c, recall, rng)
             at = top + 1
-        for c in self.classes:
-            repeats = self._calibrated(c, recall, rng) if recall < 1 else MOST_REPEATS + 1
-            if repeats > MOST_REPEATS:
-                c["pieces"], repeats = self._pieces(c["own"]), 0
-            c["keys"], c["begun"] = c["keys"][:repeats], c["begun"][:repeats]
         self.repeats = max((len(c["keys"]) for c in self.classes), default=0)
+        self.walked = np.zeros(len(self.items), dtype=bool)
+        for c in self.classes:
+            self.walked[c["own"]] = c["pieces"] is None
 
     @staticmethod
     def _grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -186,26 +201,25 @@ class LeakIndex:
             out.append(np.stack([i[own], np.maximum(start[own], 0)], axis=1))
         return out
 
-    def _class(self, low: int, edits: int, own: np.ndarray, rng: np.random.Generator) -> dict:
-        steps = 2 * low
-        bits = rng.integers(0, 1 << 63, (MOST_REPEATS, (steps + 62) // 63, len(self.vocabulary) + 1), dtype=np.int64)
+    def _extend(self, c: dict, repeats: int, rng: np.random.Generator) -> None:
+        """Walk the items of a class so many times in all."""
+        steps, own = 2 * c["low"], c["own"]
         # One of the sampled steps is among the first quarter: most walks end there, on a word that no item has in that step.
         early = max(1, steps // 4)
-        sampled = [np.sort([rng.integers(0, early), *rng.choice(np.arange(early, steps), min(SAMPLED_STEPS, steps - early) - 1, replace=False)]) for _ in range(MOST_REPEATS)]
-        made = {"low": low, "edits": edits, "bits": bits, "sampled": sampled, "keys": [], "begun": []}
+        places = 1 << max(10, min(15, (8 * len(own)).bit_length()))
         padded = np.zeros((len(own), steps + 1 + max(len(self.items[i]) for i in own)), dtype=np.int32)
         for row, i in zip(padded, own):
             row[: len(self.items[i])] = self.items[i]
         starts = np.arange(len(own), dtype=np.int64) * padded.shape[1]
-        for t in range(MOST_REPEATS):
-            made["begun"].append([np.zeros(KEY_BITS, dtype=bool) for _ in sampled[t]])
-            alive, keys = self._walk(made, t, padded.ravel(), starts, note=True)
+        for t in range(len(c["keys"]), repeats):
+            c["sampled"].append(np.sort([rng.integers(0, early), *rng.choice(np.arange(early, steps), min(SAMPLED_STEPS, steps - early + 1) - 1, replace=False)]))
+            c["odd"].append(rng.integers(0, 1 << 63, steps, dtype=np.uint64) << np.uint64(1) | np.uint64(1))
+            c["begun"].append([np.zeros(places, dtype=bool) for _ in c["sampled"][t]])
+            alive, keys = self._walk(c, t, padded.ravel(), starts, note=True)
             order = np.argsort(keys, kind="stable")
-            made["keys"].append((keys[order], own[alive // padded.shape[1]][order]))
-        return made
+            c["keys"].append((keys[order], own[alive // padded.shape[1]][order]))
 
-    @staticmethod
-    def _walk(c: dict, t: int, words: np.ndarray, starts: np.ndarray, note: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def _walk(self, c: dict, t: int, words: np.ndarray, starts: np.ndarray, note: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Starts whose sampled steps all stand on words of items, and their keys.
 
         A word of no item (0) ends a walk that samples it, and so does the beginning of a key that no item's key has (begun,
@@ -216,14 +230,15 @@ class LeakIndex:
             w = words[at]
             if j in sampled:
                 keys = (keys * np.int64(0x5851F42D4C957F2D) + w) ^ keys >> np.int64(31)
-                place, table = (keys ^ keys >> np.int64(27)) & np.int64(KEY_BITS - 1), begun[sampled.index(j)]
+                table = begun[sampled.index(j)]
+                place = (keys ^ keys >> np.int64(27)) & np.int64(len(table) - 1)
                 if note:
                     table[place[w > 0]] = True
                 keep = (w > 0) & table[place]
                 starts, at, w, keys = starts[keep], at[keep], w[keep], keys[keep]
                 if not len(at):
                     break
-            at += c["bits"][t, j // 63][w] >> np.int64(j % 63) & 1
+            at += (self.drawn[w] * c["odd"][t][j] >> np.uint64(63)).astype(np.int64)
         return starts, keys
 
     def _candidates(self, words: np.ndarray, stop: int, classes: list[dict] | None = None, rep_of: dict | None = None) -> dict[int, list[tuple[int, int]]]:
@@ -263,11 +278,28 @@ class LeakIndex:
                 spans.append((lo, hi))
         return out
 
-    def _calibrated(self, c: dict, recall: float, rng: np.random.Generator, trials: int = 400) -> int:
-        """Repeats with which items of the class, with all the edits that are allowed, are found in the share `recall` of the
-        trials; MOST_REPEATS + 1 if none does."""
+    def _calibrate(self, c: dict, recall: float, rng: np.random.Generator) -> None:
+        """As many walks as the class needs, and the recall that they have on other trials; pieces if MOST_REPEATS are too few."""
+        if recall < 1:
+            while len(c["keys"]) < MOST_REPEATS:
+                self._extend(c, min(MOST_REPEATS, max(16, 2 * len(c["keys"]))), rng)
+                first = self._trials(c, rng)
+                # One standard deviation more than is asked for, as the trials are a sample.
+                need = int(np.ceil(min(1.0, recall + (recall * (1 - recall) / TRIALS) ** 0.5) * TRIALS))
+                if first[need - 1] < len(c["keys"]):
+                    for part in ("keys", "begun", "sampled", "odd"):
+                        c[part] = c[part][: first[need - 1] + 1]
+                    found = sum(t < len(c["keys"]) for t in self._trials(c, rng)) / TRIALS
+                    if found >= recall - 2 * (recall * (1 - recall) / TRIALS) ** 0.5:
+                        c["recall"] = found
+                        return
+        c |= {"keys": [], "begun": [], "sampled": [], "odd": [], "pieces": self._pieces(c["own"]), "recall": 1.0}
+
+    def _trials(self, c: dict, rng: np.random.Generator) -> list[int]:
+        """The walk that first finds each of TRIALS items of the class with all the edits that are allowed, ascending; the
+        number of walks for those that none finds."""
         gap = np.zeros(2 * c["reach"] + 2, dtype=np.int32)
-        chosen, rows = rng.choice(c["own"], trials).tolist(), [gap]
+        chosen, rows = rng.choice(c["own"], TRIALS).tolist(), [gap]
         for i in chosen:
             words = self.items[i].tolist()
             for _ in range(self.edits[i]):
@@ -277,15 +309,15 @@ class LeakIndex:
         begins = np.cumsum([len(a) + len(b) for a, b in zip(rows[::2], [np.zeros(0), *rows[1::2]])])
         every, reps = np.concatenate(rows), {}
         self._candidates(every, len(every) - len(gap), [c], reps)
-        first = [MOST_REPEATS] * trials
+        first = [len(c["keys"])] * TRIALS
         for (i, start), t in reps.items():
             trial = int(np.searchsorted(begins, start + len(gap) // 2, side="right")) - 1
-            if 0 <= trial < trials and chosen[trial] == i and t < first[trial]:
-                e, n = self.edits[i], len(self.items[i])
-                if edit_distance_within(self.items[i].tolist(), every[max(0, start - e) : start + n + 2 * e].tolist()) <= e:
+            if 0 <= trial < TRIALS and chosen[trial] == i and t < first[trial]:
+                # What is verified must hold the whole passage.
+                e, n, size = self.edits[i], len(self.items[i]), len(rows[2 * trial + 1])
+                if start - e <= begins[trial] and start + n + 2 * e >= begins[trial] + size:
                     first[trial] = t
-        first.sort()
-        return first[min(trials - 1, int(np.ceil(recall * trials)) - 1)] + 1
+        return sorted(first)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Words as numbers of the items' vocabulary from 1 on; 0 for all others."""
@@ -316,8 +348,8 @@ class LeakIndex:
                     if held[part].sum() >= len(item) - self.edits[i]:
                         best[d] = min(best.get(d, len(item)), edit_distance_within(item, part.tolist()))
             for d, e in best.items():
-                if e <= self.edits[i]:
-                    out[d].append((self.ids[i], e))
+                if e <= self.edits[i]:  # a place with fewer edits may be no candidate of the walks
+                    out[d].append((self.ids[i], edit_distance_within(item, docs[d].tolist()) if e and self.walked[i] else e))
         return [sorted(x) for x in out]
 
     def of_texts(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
@@ -331,30 +363,52 @@ class LeakIndex:
         return out + self.leaks(held)
 
 
+def _blocks(benchmark: DataFrame, max_rate: float, recall: float) -> DataFrame:
+    """block, index (a LeakIndex's pickled attributes), classes: one row for each block of items."""
+    usable = materialize(benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")), "items")
+    n_blocks = -(-usable.count() // BLOCK_ITEMS)
+    dealt = usable.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(max(1, n_blocks))).cast("int"))
+
+    def build(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["item_id", "text"])
+        index = LeakIndex(list(zip(items["item_id"].tolist(), items["text"])), max_rate, recall)
+        classes = [{"least_words": c["low"], "most_words": c["top"], "items": len(c["own"]), "walks": len(c["keys"]), "recall": c["recall"]} for c in index.classes]
+        return pd.DataFrame({"block": [items["block"].iloc[0]], "index": [pickle.dumps(vars(index))], "classes": [classes]})
+
+    return materialize(dealt.groupBy("block").applyInPandas(build, "block int, index binary, classes array<struct<least_words:int,most_words:int,items:int,walks:int,recall:double>>"), "index")
+
+
+def leak_classes(benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = TARGET_RECALL) -> DataFrame:
+    """block, least_words, most_words, items, walks, recall of each class of items; without walks it is searched exactly."""
+    return _blocks(benchmark, max_rate, recall).select("block", F.explode("classes").alias("c")).select("block", "c.*")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_rate: float = MAX_RATE, recall: float = TARGET_RECALL) -> DataFrame:
-    """docs with leaks: array of (item_id, edits). benchmark: item_id, text, of which one block at a time is on the driver."""
-    spark = docs.sparkSession
-    usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    parts, block = [], []
+    """docs with leaks: array of (item_id, edits), by item_id. benchmark: item_id, text."""
+    kind = "array<struct<item_id:long,edits:int>>"
+    blocks = _blocks(benchmark, max_rate, recall)
+    numbers = [r.block for r in blocks.select("block").orderBy("block").collect()]  # one for each BLOCK_ITEMS items
 
-    def close() -> None:
-        shared = spark.sparkContext.broadcast(LeakIndex(block, max_rate, recall))
+    def of_block(number: int) -> Column:
+        index = LeakIndex.__new__(LeakIndex)
+        vars(index).update(pickle.loads(blocks.where(F.col("block") == number).first()["index"]))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.pandas_udf("array<struct<item_id:long,edits:int>>")
+        @F.pandas_udf(kind)
         def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
                 yield pd.Series([[{"item_id": i, "edits": e} for i, e in one] for one in shared.value.of_texts(list(texts))], dtype=object)
 
-        parts.append(leaks(F.col(text)))
+        return leaks(F.col(text))
 
-    for row in usable.orderBy("item_id", "text").toLocalIterator():
-        block.append((row.item_id, row.text))
-        if len(block) == BLOCK_ITEMS:
-            close()
-            block = []
-    if block or not parts:
-        close()
-    return with_fresh(docs, {"leaks": F.concat(*parts)})
+    if len(numbers) < 2:
+        return with_fresh(docs, {"leaks": of_block(numbers[0]) if numbers else F.array().cast(kind)})
+    rows = materialize(docs.withColumn("__leak_row", F.monotonically_increasing_id()), "rows")
+    # A block is written before the next one is loaded.
+    found = reduce(DataFrame.union, [materialize(rows.select("__leak_row", of_block(n).alias("leaks")).where(F.size("leaks") > 0), "leaks") for n in numbers])
+    every = found.groupBy(F.col("__leak_row").alias("__leak_of")).agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("__leaks"))
+    joined = rows.join(every, F.col("__leak_row") == F.col("__leak_of"), "left")
+    return with_fresh(joined, {"leaks": F.coalesce("__leaks", F.array().cast(kind))}).drop("__leak_row", "__leak_of", "__leaks")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
