@@ -2,14 +2,18 @@
 
 One pattern finds candidates; each is validated (Luhn and mod-97 check digits, calendar dates, octets, numbering plans) and, if
 valid, mapped by a keyed Feistel network within its own format. A value is a row of symbols, each with a radix: a digit has 10,
-an octet 256, a date two symbols that number the days of 400 years. The row is cut in halves, and in each of ROUNDS rounds one
+an octet 256, a date the days of its class and 400 years. The row is cut in halves, and in each of ROUNDS rounds one
 half is shifted, symbol by symbol and modulo its radix, by digits of SHA-256 over the key, the kind, the round and the other
 half. That is a permutation of all values of the format, so equal values get equal pseudonyms in every document, different ones
 different pseudonyms, and who has the key can undo it (`undo=True`). Check digits are computed anew, so pseudonyms validate.
 
-Kinds: e-mail (local part), card (13 to 19 digits, Luhn), IBAN, phone (+country code, or ten digits of the North American plan),
+Dates are permuted within classes (day below 10, 10 to 12, or above; month below 10 or not; the leap day by itself), so that a
+pseudonym has the widths of its original, reads in the same order of day and month, and is a date.
+
+Kinds: e-mail (local part), card (13 to 19 digits that begin with 2 to 6, Luhn; of a longer run the longest part between
+separators that validates), IBAN, phone (+country code, or ten digits of the North American plan),
 social security number, IPv4 address, date (ISO, or day and month with slashes or dots and a year of 1800 to 2199), credential
-(the value of password=, token=, key= and the like, and access key ids). Separators, country codes, a card's first digit and
+(the value of password=, token=, key= and the like, of any length and with parts after dots, and access key ids). Separators, country codes, a card's first digit and
 an e-mail's domain stay. Candidates that do not validate stay as they are, so texts without personal data are unchanged.
 
 Defined cases: null stays null and the empty text empty; whole texts are read, of any length; every occurrence is replaced.
@@ -20,15 +24,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Setting that holds the secret key.
+KEY_SETTING = "spark.auditspark.pii.key"
 
 ROUNDS = 10
-EPOCH, CYCLE = "1800-01-01", (189, 773)  # 189 * 773 days are 400 years
+FIRST_YEAR, YEARS = 1800, 400
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
-CREDENTIAL = r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8,128})|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+CREDENTIAL = r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8,}+(?:\.[A-Za-z0-9+/_\-]{8,}+){0,64}+)|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\d]|[./\-]\d)"
@@ -39,6 +45,12 @@ PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d(?:[ .\-]?\d){3,12}
 ANY = "|".join([EMAIL, CREDENTIAL, IBAN, IPV4, DATE.replace("\\1", "[/.]").replace("([/.])", "[/.]"), SSN, PHONE, CARD])
 
 
+def configured_key(spark: SparkSession) -> str:
+    """The key that the session is configured with; whoever has it can undo the pseudonyms. A public one where none is set, as in
+    tests."""
+    return spark.conf.get(KEY_SETTING, "no-key-is-configured")
+
+
 def _ints(*values: int) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
@@ -148,14 +160,26 @@ def _credential(m: Column, key: str, undo: bool) -> Column:
 
 
 def _card(m: Column, key: str, undo: bool) -> Column:
-    def of(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.length(d) - 1)
+    def valid(d: Column) -> Column:
+        return d.rlike("^[2-6][0-9]{12,18}$") & (_luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1)))
+
+    def new(d: Column) -> Column:
         # The first digit stays.
         own = F.substr(d, F.lit(2), F.length(d) - 2)
-        new = F.concat(F.substr(d, F.lit(1), F.lit(1)), _joined(feistel(_numbers(own), _repeat(10, F.length(d) - 2), "card", key, undo)))
-        return F.when(_luhn_digit(body) == F.substr(d, F.length(d), F.lit(1)), _let(new, lambda n: _weave(m, F.concat(n, _luhn_digit(n)))))
+        return _let(F.concat(F.substr(d, F.lit(1), F.lit(1)), _joined(feistel(_numbers(own), _repeat(10, F.length(d) - 2), "card", key, undo))), lambda n: F.concat(n, _luhn_digit(n)))
 
-    return _let(_digits(m), of)
+    def part(groups: Column) -> Column:
+        """Of the runs of whole groups that validate the one of most digits; of these the first."""
+        n = F.size(groups)
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.struct(F.array_join(F.slice(groups, i, j - i + 1), "").alias("d"), i.alias("i"), j.alias("j")))))
+        best = lambda t, x: F.when(valid(x["d"]) & (F.length(x["d"]) > F.length(F.coalesce(t["d"], F.lit("")))), x).otherwise(t)
+        chosen = F.aggregate(spans, F.struct(F.lit(None).cast("string").alias("d"), F.lit(0).alias("i"), F.lit(0).alias("j")), best)
+        at = lambda k: F.aggregate(F.slice(groups, F.lit(1), k), F.lit(0), lambda t, x: t + F.length(x)) + k  # noqa: E731  where the groups behind the k-th begin
+        woven = lambda c: F.concat(F.substr(m, F.lit(1), at(c["i"] - 1)), _weave(F.substr(m, at(c["i"] - 1) + 1, at(c["j"]) - 1 - at(c["i"] - 1)), new(c["d"])), F.substr(m, at(c["j"])))
+        return _let(chosen, lambda c: F.when(c["d"].isNotNull(), woven(c)))
+
+    whole = _let(_digits(m), lambda d: F.when(valid(d), _weave(m, new(d))))
+    return F.coalesce(whole, F.when(m.rlike("[ -]"), _let(F.split(m, "[ -]"), part)))
 
 
 def _iban(m: Column, key: str, undo: bool) -> Column:
@@ -173,26 +197,46 @@ def _ip(m: Column, key: str, undo: bool) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), mapped)
 
 
+def _date_classes() -> list[list[int]]:
+    """100 * month + day of the days of a common year, by class."""
+    lengths = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+    days = [(month, day) for month, n in enumerate(lengths, 1) for day in range(1, n + 1)]
+    return [[100 * m + d for m, d in days if (m < 10) == low and first <= d <= last] for low in (True, False) for first, last in ((1, 9), (10, 12), (13, 31))]
+
+
 def _date(m: Column, key: str, undo: bool) -> Column:
     """In the format it stands in: ISO, else day first, else month first."""
+    classes = _date_classes()
+    leap_years = [y for y in range(FIRST_YEAR, FIRST_YEAR + YEARS) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
 
-    def parsed(parts: Column) -> Column:
-        part = lambda i: F.lpad(F.get(parts, F.lit(i)), 2, "0")
-        made = lambda mo, d: F.try_to_date(F.concat_ws("-", F.get(parts, F.lit(2)), mo, d), "yyyy-MM-dd")
-        return F.struct(made(part(1), part(0)).alias("by_day"), made(part(0), part(1)).alias("by_month"), F.try_to_date(m, "yyyy-MM-dd").alias("iso"))
+    def read(parts: Column) -> Column:
+        part = lambda i: F.get(parts, F.lit(i))
+        date = lambda y, mo, d: F.try_to_date(F.concat_ws("-", part(y), F.lpad(part(mo), 2, "0"), F.lpad(part(d), 2, "0")), "yyyy-MM-dd")
+        order = F.when(m.contains("-"), F.when(date(0, 1, 2).isNotNull(), 0)).when(date(2, 1, 0).isNotNull(), 1).when(date(2, 0, 1).isNotNull(), 2)
+        number = lambda iso, by_day, by_month: F.when(order == 0, part(iso)).when(order == 1, part(by_day)).when(order == 2, part(by_month)).cast("int")
+        return F.struct(order.alias("order"), number(0, 2, 2).alias("y"), number(1, 1, 0).alias("m"), number(2, 0, 1).alias("d"), parts.alias("parts"))
 
-    def of(w: Column) -> Column:
-        days = F.date_diff(F.coalesce(w["iso"], w["by_day"], w["by_month"]), F.lit(EPOCH).cast("date")).cast("long")
-        return _let(days, lambda d: F.when((d >= 0) & (d < CYCLE[0] * CYCLE[1]), _let(feistel(F.array(F.floor(d / CYCLE[1]).cast("long"), F.pmod(d, F.lit(CYCLE[1]))), _ints(*CYCLE), "date", key, undo), lambda n: shown(w, n))))
-
-    def shown(w: Column, n: Column) -> Column:
-        date = F.date_add(F.lit(EPOCH).cast("date"), (F.get(n, F.lit(0)) * CYCLE[1] + F.get(n, F.lit(1))).cast("int"))
-        sign = F.regexp_extract(m, "([/.])", 1)
-        year, month, day = (F.date_format(date, f) for f in ("yyyy", "MM", "dd"))
-        other = F.when(w["by_day"].isNotNull(), F.concat(day, sign, month, sign, year)).otherwise(F.concat(month, sign, day, sign, year))
-        return F.when(w["iso"].isNotNull(), F.concat_ws("-", year, month, day)).otherwise(other)
+    def moved(days: Column) -> Callable[[Column], Column]:
+        return lambda n: F.struct((F.get(n, F.lit(1)) + FIRST_YEAR).alias("y"), F.get(days, F.get(n, F.lit(0)).cast("int")).alias("of"))
 
-    return _let(F.split(m, r"[-/.]"), lambda parts: _let(parsed(parts), of))
+    def mapped(w: Column) -> Column:
+        of = 100 * w["m"] + w["d"]
+        cases = F.when(of == 229, _let(F.array_position(_ints(*leap_years), w["y"].cast("long")) - 1, lambda i: _let(feistel(F.array(i, F.lit(0).cast("long")), _ints(len(leap_years), 1), "leap day", key, undo), lambda n: F.struct(F.get(_ints(*leap_years), F.get(n, F.lit(0)).cast("int")).alias("y"), F.lit(229).cast("long").alias("of")))))
+        for k, days in enumerate(classes):
+            slots, low, first = _ints(*days), k < 3, (1, 10, 13)[k % 3]
+            here = ((w["m"] < 10) == F.lit(low)) & w["d"].between(first, (9, 12, 31)[k % 3])
+            values = F.array(F.array_position(slots, of.cast("long")) - 1, (w["y"] - FIRST_YEAR).cast("long"))
+            cases = cases.when(here, _let(feistel(values, _ints(len(days), YEARS), f"date {k}", key, undo), moved(slots)))
+        return F.when(w["order"].isNotNull() & w["y"].between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), _let(cases, lambda x: shown(w, x)))
+
+    def shown(w: Column, x: Column) -> Column:
+        width = lambda value, i: F.lpad(value.cast("string"), F.length(F.get(w["parts"], F.lit(i))), F.lit("0"))
+        year, month, day, sign = x["y"], F.floor(x["of"] / 100), x["of"] % 100, F.regexp_extract(m, "([-/.])", 1)
+        iso, by_day, by_month = (year, month, day), (day, month, year), (month, day, year)
+        text = lambda values: F.concat_ws("", width(values[0], 0), sign, width(values[1], 1), sign, width(values[2], 2))
+        return F.when(w["order"] == 0, text(iso)).when(w["order"] == 1, text(by_day)).otherwise(text(by_month))
+
+    return _let(F.split(m, r"[-/.]"), lambda parts: _let(read(parts), mapped))
 
 
 def _ssn(m: Column, key: str, undo: bool) -> Column:

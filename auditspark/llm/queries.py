@@ -17,7 +17,7 @@ from .common import shared_dir, table
 from .extend_shard import assign_shards
 from .lang_ecoc import fit_on_documents, held_out, predict_languages
 from .sp_chunks import encode_and_decode
-from .pii_feistel import pseudonymize
+from .pii_feistel import configured_key, pseudonymize
 from .simhash_trie import fingerprint_hex, simhash_groups
 from .url_filter import judge_urls
 
@@ -83,12 +83,8 @@ FROM escaped GROUP BY conv_id
 """
 
 
-#: Stands in for a secret: whoever has the key can undo the pseudonyms.
-PII_KEY = "replace-this-key"
-
-
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, any_plan=True)
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark), any_plan=True)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
