@@ -149,20 +149,20 @@ def communities(edges: DataFrame, nodes: DataFrame, least: int = 2, shown: int =
     return sizes.join(first, "label").select(F.col("label").alias("community"), "size", F.array_join(F.slice("keywords", 1, shown), "、").alias("label"), "keywords")
 
 
-def normalize_entities(raw: DataFrame) -> DataFrame:
-    """Names trimmed and of 2 to 100 characters; a blank type is concept, a blank importance 中."""
+def normalize_entities(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Names trimmed and of 2 to 100 characters; a blank type is concept, a blank importance 中. Columns of keep stay."""
     name = F.trim("name")
     blank = lambda c, d: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(d))
-    return raw.select(name.alias("name"), blank("entity_type", "concept").alias("entity_type"), blank("importance", "中").alias("importance")).where(F.length("name").between(2, 100))
+    return raw.select(name.alias("name"), blank("entity_type", "concept").alias("entity_type"), blank("importance", "中").alias("importance"), *keep).where(F.length("name").between(2, 100))
 
 
 # The relation types that a graph may have.
 RELATION_TYPES = ("derives_from", "references", "contrasts_with", "prerequisite_of", "composes", "leads_to", "belongs_to", "tested_by", "similar_to")
 
 
-def normalize_relations(raw: DataFrame) -> DataFrame:
-    """Without loops and blank ends; an unknown type is references, a missing confidence 0.5."""
+def normalize_relations(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Without loops and blank ends; an unknown type is references, a missing confidence 0.5. Columns of keep stay."""
     src, dst = F.trim("source"), F.trim("target")
     kind = F.when(F.col("type").isin(*RELATION_TYPES), F.col("type")).otherwise("references")
-    kept = raw.select(src.alias("source"), dst.alias("target"), kind.alias("type"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    kept = raw.select(src.alias("source"), dst.alias("target"), kind.alias("type"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), *keep)
     return kept.where((F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target")))
