@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def mark_duplicates(files: DataFrame, digest: str, order: str) -> DataFrame:
     """files with first_id (of the least `order` with the digest) and is_duplicate. A null digest is like no other.
@@ -28,21 +29,38 @@ def near_duplicate_pairs(hashes: DataFrame, least_bits: int = 5, bucket_bits: in
     return near.where(F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) < least_bits).select("a", "b", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).cast("int").alias("bits"))
 
 
-def greedy_near_duplicates(hashes: DataFrame, least_bits: int = 5, bucket_bits: int = 16) -> DataFrame:
-    """id, kept: in order of id a hash stays if it is not near one that stays in its bucket, and all copies follow the first."""
-    distinct = hashes.groupBy("h").agg(F.min("id").alias("id")).withColumn("bucket", F.shiftrightunsigned("h", 64 - bucket_bits))
+def near_duplicate_pairs_global(hashes: DataFrame, least_bits: int = 5) -> DataFrame:
+    """a, b, bits of all hashes(id, h) that differ in fewer than least_bits bits, whatever bucket they are in.
+
+    Of least_bits segments of a hash such a pair has one in common, so pairs meet on equal segments and not all with all.
+    """
+    cuts = [64 * i // least_bits for i in range(least_bits + 1)]
+    segment = lambda x, y: F.shiftrightunsigned(F.shiftleft("h", x), 64 - (y - x))
+    segments = F.array(*[F.struct(F.lit(i).alias("i"), segment(x, y).alias("s")) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))])
+    rows = hashes.groupBy("h").agg(F.min("id").alias("id")).select("id", "h", F.explode(segments).alias("at")).select("id", "h", "at.*")
+    a, b = rows.toDF("a", "h_a", "i", "s"), rows.toDF("b", "h_b", "i_b", "s_b")
+    bits = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b")))
+    met = a.join(b, (F.col("i") == F.col("i_b")) & (F.col("s") == F.col("s_b")) & (F.col("a") < F.col("b"))).where(bits < least_bits)
+    return met.select("a", "b", bits.cast("int").alias("bits")).distinct()
+
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, stay, kept = rows.sort_values("id"), [], []
-        for h in rows["h"].tolist():
-            near = next((s for s in stay if ((h ^ s) & (2**64 - 1)).bit_count() < least_bits), None)
-            if near is None:
-                stay.append(h)
-            kept.append(near is None)
-        return pd.DataFrame({"first": rows["id"], "h_first": rows["h"], "stays": kept})
+def greedy_near_duplicates(hashes: DataFrame, least_bits: int = 5, bucket_bits: int = 16) -> DataFrame:
+    """id, kept: in order of id a hash stays if it is not near one that stays in its bucket, and all copies follow the first.
 
-    judged = distinct.groupBy("bucket").applyInPandas(greedy, "first long, h_first long, stays boolean")
-    return hashes.join(judged, F.col("h") == F.col("h_first")).select("id", (F.col("stays") & (F.col("id") == F.col("first"))).alias("kept"))
+    In rounds: a hash without a smaller undecided near one stays, what is near it goes, and both are decided. The least
+    undecided one is always among them, so the rounds end.
+    """
+    first = hashes.groupBy("h").agg(F.min("id").alias("first"))
+    left = cut(near_duplicate_pairs(hashes, least_bits, bucket_bits).select("a", "b"))
+    gone = left.select(F.col("b").alias("g")).limit(0)
+    while left.limit(1).count():
+        stays = left.select(F.col("a").alias("s")).join(left.select(F.col("b").alias("s")), "s", "left_anti").distinct()
+        out = cut(left.join(stays, F.col("a") == F.col("s"), "left_semi").select(F.col("b").alias("g")).distinct())
+        gone = gone.union(out)
+        decided = stays.union(out).toDF("d")
+        left = cut(left.join(decided, F.col("a") == F.col("d"), "left_anti").join(decided, F.col("b") == F.col("d"), "left_anti"))
+    joined = hashes.join(first.withColumnRenamed("h", "h_first"), F.col("h") == F.col("h_first")).join(gone.withColumn("is_gone", F.lit(True)), F.col("first") == F.col("g"), "left")
+    return joined.select("id", ((F.col("id") == F.col("first")) & F.col("is_gone").isNull()).alias("kept"))
 
 
 QC = {"min_kb": 3, "min_side": 100, "min_ratio": 0.2, "max_ratio": 8.0, "min_variance": 50.0}
@@ -63,6 +81,31 @@ def qc_report(images: DataFrame) -> DataFrame:
     return images.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
+def qc_summary(images: DataFrame) -> DataFrame:
+    """One row of images(issues, width, height): total, valid, invalid, valid_rate (a percentage of one decimal) and the least,
+    greatest and mean sides of the valid ones."""
+    ok = F.size("issues") == 0
+    side = lambda c: F.when(ok & (F.col(c) > 0), F.col(c))
+    measures = [f(side(c)).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max), ("avg", lambda x: F.round(F.avg(x), 4)))]
+    counted = images.agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"), *measures)
+    rate = F.when(F.col("total") > 0, F.concat(F.round(F.col("valid") * 100 / F.col("total"), 1).cast("decimal(5,1)").cast("string"), F.lit("%"))).otherwise("0%")
+    return counted.withColumn("valid_rate", rate)
+
+
+def qc_by_category(images: DataFrame) -> DataFrame:
+    """category, total, valid, invalid of images(name, issues)."""
+    ok = F.size("issues") == 0
+    return images.groupBy(file_category(F.col("name")).alias("category")).agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+
+
+def cleaning_counts(entries: DataFrame, invalid: DataFrame, split: str = "split", path: str = "image") -> DataFrame:
+    """split, kept, removed: what without_invalid leaves and takes of each split."""
+    base = lambda c: F.regexp_extract(c, r"([^/\\]*)$", 1)
+    bad = invalid.select(base(F.col("path")).alias("__name")).distinct().withColumn("__bad", F.lit(True))
+    marked = entries.join(bad, base(F.col(path)) == F.col("__name"), "left")
+    return marked.groupBy(split).agg(F.count_if(F.col("__bad").isNull()).alias("kept"), F.count_if(F.col("__bad").isNotNull()).alias("removed"))
+
+
 def file_category(name: Column) -> Column:
     """What stands before the last underscore; 未知 without one."""
     return F.when(F.contains(name, F.lit("_")), F.regexp_extract(name, "(?s)^(.*)_", 1)).otherwise("未知")

@@ -81,8 +81,14 @@ def trigram_join(names: DataFrame, column: str, least: float = 0.3) -> DataFrame
     counts = listed.groupBy("gram").agg(F.count("*").alias("n"))
     ranked = listed.join(counts, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
     need = F.size("ranked") - F.ceil(F.size("ranked") * least - 1e-9) + 1
-    keys = ranked.select("name", F.explode(F.transform(F.slice("ranked", F.lit(1), need.cast("int")), lambda x: x["gram"])).alias("gram"))
-    met = keys.toDF("a", "gram").join(keys.toDF("b", "gram_b"), (F.col("gram") == F.col("gram_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    first = F.transform(F.slice("ranked", F.lit(1), need.cast("int")), lambda x: x["gram"])
+    keys = ranked.select("name", F.size("ranked").alias("size"), F.posexplode(first).alias("pos", "gram"))
+    a_keys, b_keys = keys.toDF("a", "n_a", "p_a", "gram"), keys.toDF("b", "n_b", "p_b", "gram_b")
+    # Sizes too far apart, or too few trigrams left behind the shared one, cannot be that similar.
+    sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
+    left_over = 1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1 + F.least("p_a", "p_b")
+    enough = left_over >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    met = a_keys.join(b_keys, (F.col("gram") == F.col("gram_b")) & (F.col("a") < F.col("b")) & sizes & enough).select("a", "b").distinct()
     full = met.join(own.toDF("a", "g_a"), "a").join(own.toDF("b", "g_b"), "b")
     similarity = F.size(F.array_intersect("g_a", "g_b")) / F.size(F.array_union("g_a", "g_b"))
     return full.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)

@@ -41,11 +41,20 @@ def near_dup_pairs(spark, d):
     return quality.near_duplicate_pairs(_hashes(spark, d), 5, 48)
 
 
-@query()
+@query(f"""WITH RECURSIVE {H}, k AS (SELECT h, min(id) AS id FROM h GROUP BY h), o AS (SELECT h, id, row_number() OVER (ORDER BY id) AS n FROM k),
+g(n, stay) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.n, CASE WHEN len(list_filter(g.stay, lambda s: s >> 16 = o.h >> 16 AND bit_count(xor(s, o.h)) < 5)) > 0 THEN g.stay ELSE list_append(g.stay, o.h) END FROM g JOIN o ON o.n = g.n + 1),
+kept AS (SELECT unnest(stay) AS h FROM (SELECT stay FROM g ORDER BY n DESC LIMIT 1))
+SELECT h.id, h.id = k.id AND k.h IN (SELECT h FROM kept) AS kept FROM h JOIN k ON h.h = k.h""")
 def near_dup_greedy(spark, d):
     return quality.greedy_near_duplicates(_hashes(spark, d), 5, 48)
 
 
+@query(f"WITH {H}, k AS (SELECT h, min(id) AS id FROM h GROUP BY h) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM k a JOIN k b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) < 3")
+def near_dup_global(spark, d):
+    """All near pairs, whatever bucket they are in."""
+    return quality.near_duplicate_pairs_global(_hashes(spark, d), 3)
+
+
 ISSUES = "list_filter([CASE WHEN p_retailprice / 300 < 3 THEN 'file_too_small' END, CASE WHEN p_size % 17 = 0 THEN 'corrupt' END, CASE WHEN p_size % 17 > 0 AND least(p_size * 10, p_partkey % 900) < 100 THEN 'too_small' END, CASE WHEN p_size % 17 > 0 AND p_partkey % 900 > 0 AND (p_size * 10 / (p_partkey % 900)::DOUBLE < 0.2 OR p_size * 10 / (p_partkey % 900)::DOUBLE > 8) THEN 'odd_ratio' END, CASE WHEN p_partkey % 7 * 10 < 50 THEN 'blank' END], lambda x: x IS NOT NULL)"
 
 
@@ -95,10 +104,17 @@ def chunk_fixed_overlap(spark, d):
     return rows.select("id", "chunk_no", F.md5("chunk").alias("digest"), F.length("chunk").alias("n"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\.\n', '。' || chr(10) || chr(10), 'g'), '\.', '。审计准则审计准则审计准则', 'g') AS text FROM documents),
+pieces AS (SELECT id, text, flatten(list_transform(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: trim(p, ' ')), lambda p: length(p) >= 10),
+  lambda p: CASE WHEN length(p) <= 700 THEN [p] ELSE list_filter(string_split(regexp_replace(p, '([。！？；])', '\1' || chr(1), 'g'), chr(1)), lambda s: s != '') END)) AS parts FROM t),
+merged AS (SELECT id, text, CASE WHEN len(parts) = 0 THEN [] ELSE string_split(list_reduce(parts, lambda acc, p: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(p) + 1 <= 700 THEN acc || chr(10) || p ELSE acc || chr(1) || p END), chr(1)) END AS c FROM pieces),
+tailed AS (SELECT id, CASE WHEN length(text) <= 700 THEN [trim(text, ' ')] WHEN len(c) > 1 AND length(c[-1]) < 300 THEN list_append(c[:-3], c[-2] || chr(10) || c[-1]) ELSE c END AS c FROM merged),
+rows AS (SELECT id, (i - 1)::INT AS chunk_no, c[i] AS chunk FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS i FROM tailed))
+SELECT id, chunk_no, md5(chunk) AS digest FROM (SELECT *, length(chunk) AS n, length(regexp_replace(chunk, '[^一-鿿]', '', 'g')) AS z FROM rows)
+WHERE n >= 50 AND NOT ((contains(chunk, 'STEP') AND n < 150) OR (z = 0 AND n < 100) OR (n >= 20 AND z / n < 0.1))""")
 def chunk_semantic(spark, d):
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.regexp_replace("text", r"\.\n", "。\n\n"), r"\.", "。审计准则审计准则审计准则").alias("text"))
-    return chunking.semantic_chunks(docs)
+    return chunking.semantic_chunks(docs).select("id", "chunk_no", F.md5("chunk").alias("digest"))
 
 
 PAIRS = """pairs AS (SELECT a.category, a.id AS a, b.id AS b, a.confidence AS conf_a, b.confidence AS conf_b, round(list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))), 6) AS similarity
@@ -115,9 +131,9 @@ def merge_plan(spark, d):
     return consolidate.merge_plan(consolidate.similar_pairs(v.dream(spark, d), 0.35))
 
 
-@query(f"WITH {v.DREAM} SELECT CASE WHEN category IS NULL OR category = '' THEN '未分类' ELSE category END AS category, count(*) AS n, count(*) FILTER (confidence >= 0.5) AS high FROM dream GROUP BY 1")
+@query(f"WITH {v.DREAM} SELECT CASE WHEN category IS NULL OR category = '' THEN '未分类' ELSE category END AS category, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS high FROM dream GROUP BY 1")
 def dream_stats(spark, d):
-    return v.dream(spark, d).groupBy(consolidate.category_of(F.col("category")).alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= 0.5).alias("high"))
+    return v.dream(spark, d).groupBy(consolidate.category_of(F.col("category")).alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= 0.8).alias("high"))
 
 
 @query("SELECT coalesce(max(doc_id), 0) + 1 AS next_batch FROM labels")

@@ -120,18 +120,27 @@ def fuzzy_type_match(spark, d):
     return held.groupBy("raw").agg(F.min_by("name", F.struct("tier", "i")).alias("matched"))
 
 
-@query(f"""WITH RECURSIVE {v.GRAPH}, kept AS (SELECT src, dst FROM edges WHERE dst >= 2000000), steps AS (SELECT src, dst FROM kept UNION ALL SELECT dst, src FROM kept),
-walk(id, root) AS (SELECT id, id FROM entities UNION SELECT s.dst, w.root FROM walk w JOIN steps s ON w.id = s.src WHERE w.root < 3000000)
-SELECT id AS node, min(root) AS label FROM walk GROUP BY 1""")
+REGIONS = f"""{v.GRAPH}, rooted AS (SELECT r_regionkey::BIGINT + 1000000 AS node, r_regionkey::BIGINT + 1000000 AS label FROM region UNION ALL SELECT n_nationkey::BIGINT + 2000000, n_regionkey::BIGINT + 1000000 FROM nation
+  UNION ALL SELECT s_suppkey + 3000000, n_regionkey::BIGINT + 1000000 FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT c_custkey + 4000000, n_regionkey::BIGINT + 1000000 FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(f"WITH {REGIONS} SELECT node, label FROM rooted")
 def connected_components(spark, d):
-    """Communities as connected components, without the edges to regions."""
-    kept = v.edges(spark, d).where("dst >= 2000000")
-    return graph.least_labels(kept, v.entities(spark, d))
+    """Communities as connected components of all edges."""
+    return graph.least_labels(v.edges(spark, d), v.entities(spark, d))
+
+
+@query("WITH e AS (SELECT DISTINCT l_suppkey + 3000000 AS s, l_partkey + 5000000 AS p FROM lineitem) SELECT node, (SELECT min(s) FROM e) AS label FROM (SELECT s AS node FROM e UNION SELECT p FROM e)")
+def dense_components(spark, d):
+    """Suppliers and parts by what was supplied: one component of many edges, as every supplier shares parts with others."""
+    e = v.table(spark, d, "lineitem").select((F.col("l_suppkey") + 3000000).alias("src"), (F.col("l_partkey") + 5000000).alias("dst")).distinct().withColumn("type", F.lit("supplies"))
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return graph.least_labels(e, nodes)
 
 
-@query()
+@query(f"WITH {REGIONS}, n AS (SELECT label, name, row_number() OVER (PARTITION BY label ORDER BY node) AS r, count(*) OVER (PARTITION BY label) AS size FROM rooted JOIN entities ON node = id) SELECT label AS community, max(size) AS size, string_agg(name, '、' ORDER BY r) FILTER (r <= 3) AS label, string_agg(name, ',' ORDER BY r) FILTER (r <= 5) AS keywords FROM n GROUP BY 1 HAVING max(size) >= 2")
 def community_summaries(spark, d):
-    return graph.communities(v.edges(spark, d).where("dst >= 2000000"), v.entities(spark, d))
+    return graph.communities(v.edges(spark, d), v.entities(spark, d)).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query(f"WITH {v.GRAPH}, ids AS (SELECT DISTINCT (id + 3) % 500 AS id FROM entities WHERE entity_type IN ('region', 'nation')) SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT id FROM ids)")

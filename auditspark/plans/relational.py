@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import validate as V
 from ..operators import dml
+from ..streaming import status
 from . import views as v
 from .registry import query
 
@@ -237,11 +238,12 @@ def state_latest(spark, d):
     return v.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.max("ts").alias("at"))
 
 
-@query("SELECT user_id FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1) WHERE done > 0 AND failed = 0 UNION ALL SELECT user_id FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1) WHERE done > failed AND failed > 0")
+@query("SELECT DISTINCT event_id // 3 AS id FROM events WHERE event_type = 'signup' AND event_id // 3 NOT IN (SELECT event_id // 3 FROM events WHERE event_type = 'purchase')")
 def stage_gate(spark, d):
-    """Users whose first stage is done more often than it failed."""
-    counts = v.table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    return counts.where("done > failed").select("user_id")
+    """Vouchers whose classification is done and whose extraction has not begun; a signup is the one, a purchase the other."""
+    e = F.col("event_type")
+    stage = F.when(e == "signup", "classify").when(e == "purchase", "extract")
+    return status.ready_for(v.table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("id"), stage.alias("stage"), F.lit("done").alias("status")), "classify", "extract")
 
 
 @query("SELECT batch, count(*) AS total, count(*) FILTER (is_correct IS NOT NULL) AS done, (count(*) FILTER (is_correct IS NOT NULL) * 100 // greatest(count(*), 1))::BIGINT AS progress FROM (SELECT d.doc_id % 4 AS batch, quality = 1 - toxic AS is_correct FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1")

@@ -28,14 +28,11 @@ AUDIT = """audit AS (SELECT o_orderkey AS id, c_mktsegment AS image_type, o_orde
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def extract_of(spark: SparkSession, d: str, category: str) -> DataFrame:
-    """The typed extracts of one category, as one of several tables."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part").where(F.col("p_type") == category), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").cast("date").alias("f_date"), F.when(F.col("l_quantity") > 1, F.col("l_extendedprice")).alias("f_amount"), F.col("p_name").alias("f_party"), F.col("l_returnflag").alias("risk"))
-
-
 def extracts(spark: SparkSession, d: str, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    return reduce(DataFrame.unionByName, [extract_of(spark, d, c).withColumn("category", F.lit(c)) for c in categories])
+    """The typed extracts of all categories: one table with the category as a column, so one scan and one join."""
+    kinds = table(spark, d, "part").where(F.col("p_type").isin(*categories))
+    rows = table(spark, d, "lineitem").join(kinds, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").cast("date").alias("f_date"), F.when(F.col("l_quantity") > 1, F.col("l_extendedprice")).alias("f_amount"), F.col("p_name").alias("f_party"), F.col("l_returnflag").alias("risk"), F.col("p_type").alias("category"))
 
 
 EXTRACTS = "extracts AS (" + " UNION ALL ".join(
@@ -91,9 +88,9 @@ QA = "qa AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM
 def dream(spark: SparkSession, d: str) -> DataFrame:
     """Archived knowledge: vectors with a category and a confidence of the text's length."""
     c = chunks(spark, d).where(F.col("embedding").isNotNull())
-    confidence = F.round(F.lit(0.3) + F.when(F.length("content") > 150, 0.2).otherwise(0.0) + F.when(F.length("content") > 2000, 0.1).otherwise(0.0), 2)
+    confidence = F.round(F.lit(0.3) + F.when(F.length("content") > 150, 0.2).otherwise(0.0) + F.when(F.length("content") > 2000, 0.4).otherwise(0.0), 2)
     return c.select("id", F.col("label").cast("string").alias("category"), confidence.alias("confidence"), "embedding")
 
 
 DREAM = CHUNKS + """,
-dream AS (SELECT id, label::VARCHAR AS category, round(0.3::DOUBLE + CASE WHEN length(content) > 150 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(content) > 2000 THEN 0.1::DOUBLE ELSE 0 END, 2) AS confidence, embedding FROM chunks WHERE embedding IS NOT NULL)"""
+dream AS (SELECT id, label::VARCHAR AS category, round(0.3::DOUBLE + CASE WHEN length(content) > 150 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(content) > 2000 THEN 0.4::DOUBLE ELSE 0 END, 2) AS confidence, embedding FROM chunks WHERE embedding IS NOT NULL)"""
