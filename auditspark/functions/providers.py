@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import qa_text
+
 Provider = Callable[[list[str]], list]
 
 
@@ -77,7 +79,7 @@ def extracted_knowledge(answers: DataFrame, provider: Provider) -> DataFrame:
     """id, topic, content, summary, category of answers(id, question, answer) of at least 50 characters, by a model that
     answers with a JSON array; blank contents are skipped and texts are cut to what the table holds."""
     shape = "array<struct<topic:string,content:string,summary:string,category:string>>"
-    prompt = F.concat(F.lit("问题："), "question", F.lit("\n答案："), F.left("answer", F.lit(500)))
+    prompt = qa_text(F.col("question"), F.col("answer"))
     found = answers.where(F.length("answer") >= 50).select("id", F.explode(F.from_json(provided(prompt, provider, "string"), shape)).alias("k"))
     cut = lambda c, n: F.left(F.col(f"k.{c}"), F.lit(n)).alias(c)
     return found.where(F.trim("k.content") != "").select("id", cut("topic", 200), F.col("k.content").alias("content"), cut("summary", 500), cut("category", 50))

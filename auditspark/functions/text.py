@@ -138,3 +138,38 @@ def heading_rank(text: Column) -> Column:
 
 def bar(percent: Column) -> Column:
     return F.repeat(F.lit("█"), F.floor(percent / 5).cast("int"))
+
+
+def qa_text(question: Column, answer: Column, most: int = 500) -> Column:
+    """What is embedded of a question and its answer."""
+    return F.concat(F.lit("问题："), question, F.lit("\n答案："), F.left(answer, F.lit(most)))
+
+
+def knowledge_text(topic: Column, summary: Column, content: Column) -> Column:
+    """What is embedded of archived knowledge."""
+    return F.concat(F.lit("知识点："), topic, F.lit("\n摘要："), summary, F.lit("\n内容："), content)
+
+
+def money(amount: Column, sign: str = "¥") -> Column:
+    """An amount with thousands separators and two decimals."""
+    return F.concat(F.lit(sign), F.format_number(amount, 2))
+
+
+def account_number(digits: Column) -> Column:
+    """Digits in groups of four."""
+    return F.trim(F.regexp_replace(digits, "([0-9]{4})", "$1 "))
+
+
+def percent(share: Column) -> Column:
+    return F.concat(F.format_number(share * 100, 0), F.lit("%"))
+
+
+def tolerant_map(text: Column) -> Column:
+    """A JSON object as a map of strings; empty if it is missing or does not parse."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def append_unique(values: Column, more: Column, kind: str = "string") -> Column:
+    """Both arrays, each value once; a missing one is empty."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.array_union(F.coalesce(values, none), F.coalesce(more, none))
