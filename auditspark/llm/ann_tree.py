@@ -4,7 +4,8 @@ A tree of centroids is fitted on a bounded sample of unit vectors (`sample_rows`
 node until a node holds LEAF_ROWS of the sample. Every row is then put into the leaf that it descends to. A query walks the
 tree through a priority queue of unexplored branches, nearest bound first, and so lists leaves in the order in which they are
 worth a visit. How many are visited is calibrated: a bounded set of query vectors is searched exactly, and visits are widened
-until the recall of the k nearest reaches `recall`; all leaves are visited if nothing less does.
+until the recall of the k nearest reaches `recall`; all leaves are visited if nothing less does. The recall that is reported is
+that of further queries, which the visits were not widened for.
 
 Leaves are dealt out as blocks of at most BLOCK_ROWS rows, whatever a leaf holds, and queries of a block in groups of at most
 about BLOCK_QUERIES, so a task holds one block and one group. Each returns the best k of its block for each query; these few
@@ -12,8 +13,9 @@ are ranked by cosine in double precision, ties by id. A query for which the visi
 against all rows, in the same blocks.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part
-as query or as candidate; a row whose id equals the query's is not its neighbour; rows of one id are one query each time they
-stand there and candidates each; ids that are null take no part. Fewer than k candidates: all of them.
+as query or as candidate; a query that is a row of the index is not its own neighbour, but other rows of its id are; rows of one
+id are one query each time they stand there and candidates each; a null id comes last among ties, and a query of null id is one
+too. Fewer than k candidates: all of them.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BRANCHES = 8
 LEAF_ROWS = 100
 BLOCK_ROWS = 4_096
 BLOCK_QUERIES = 4_096
+#: Stands in for a null id while rows are ranked: after all others.
+NO_ID = 2**63 - 1
 
 
 @dataclass
@@ -133,33 +137,33 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best_of_block(k: int):
     def best(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"q_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        none = pd.DataFrame({"q_row": pd.Series(dtype="int64"), "vec_row": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(rows) or not len(queries):
             return none
-        ids, raw = rows["r_id"].to_numpy(np.int64), np.stack(rows["r_vec"].to_numpy()).astype(np.float64)
+        ids, own, raw = rows["r_id"].to_numpy(np.int64), rows["r_row"].to_numpy(np.int64), np.stack(rows["r_vec"].to_numpy()).astype(np.float64)
         units, parts = _unit(rows["r_vec"]), [none]
         for lo in range(0, len(queries), 512):
             some = queries.iloc[lo : lo + 512]
             near = _unit(some["q_vec"]) @ units.T
-            near[some["q_id"].to_numpy(np.int64)[:, None] == ids[None, :]] = -np.inf
+            near[some["q_own"].to_numpy(np.int64)[:, None] == own[None, :]] = -np.inf
             kth = np.partition(near, -min(k, near.shape[1]), axis=1)[:, -min(k, near.shape[1])]
             # All that might be among the best once scored exactly, ties included; then the best k of these.
             i, j = np.nonzero((near >= kth[:, None] - 1e-9) & (near > -np.inf))
             q = np.stack(some["q_vec"].to_numpy()).astype(np.float64)
             score = np.concatenate([exact_cosine(q[i[s : s + 20_000]], raw[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)] or [np.zeros(0)])
-            order = np.lexsort((ids[j], -score, i))
+            order = np.lexsort((own[j], ids[j], -score, i))
             rank = np.arange(len(order)) - np.searchsorted(i[order], i[order])
             take = order[rank < k]
-            parts.append(pd.DataFrame({"q_row": some["q_row"].to_numpy()[i[take]], "query_id": some["q_id"].to_numpy()[i[take]], "vec_id": ids[j[take]], "score": score[take]}))
+            parts.append(pd.DataFrame({"q_row": some["q_row"].to_numpy()[i[take]], "vec_row": own[j[take]], "vec_id": ids[j[take]], "score": score[take]}))
         return pd.concat(parts, ignore_index=True)
 
     return best
 
 
 def _search_blocks(blocks: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """q_row, query_id, vec_id, score: the best k of each query in the blocks that it visits.
+    """q_row, vec_row, vec_id, score: the best k of each query in the blocks that it visits.
 
-    blocks: leaf, block, id, vector. visits: q_row, q_id, q_vec, leaf. Both are dealt out by (leaf, block, group of queries).
+    blocks: leaf, block, row, id, vector. visits: q_row, q_own, q_vec, leaf. Both are dealt out by (leaf, block, group of queries).
     """
     sizes = blocks.groupBy("leaf", "block").agg(F.count("*").alias("rows"))
     asked = visits.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("groups"))
@@ -167,35 +171,35 @@ def _search_blocks(blocks: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     rows = blocks.join(cells.select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")), ["leaf", "block"])
     spread = F.pmod(F.xxhash64("q_row"), F.col("groups")).cast("int")
     queries = visits.join(cells.select("leaf", "block", "groups"), "leaf").withColumn("part", spread)
-    rows = rows.select("leaf", "block", "part", "id", "vector").toDF("r_leaf", "r_block", "r_part", "r_id", "r_vec")
-    queries = queries.select("leaf", "block", "part", "q_row", "q_id", "q_vec").toDF("v_leaf", "v_block", "v_part", "q_row", "q_id", "q_vec")
+    rows = rows.select("leaf", "block", "part", "row", F.coalesce("id", F.lit(NO_ID)), "vector").toDF("r_leaf", "r_block", "r_part", "r_row", "r_id", "r_vec")
+    queries = queries.select("leaf", "block", "part", "q_row", "q_own", "q_vec").toDF("v_leaf", "v_block", "v_part", "q_row", "q_own", "q_vec")
     paired = rows.groupBy("r_leaf", "r_block", "r_part").cogroup(queries.groupBy("v_leaf", "v_block", "v_part"))
-    return paired.applyInPandas(_best_of_block(k), "q_row long, query_id long, vec_id long, score double")
+    return paired.applyInPandas(_best_of_block(k), "q_row long, vec_row long, vec_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("vec_id"))
+    by = Window.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("vec_row"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 @dataclass
 class Index:
     tree: Tree
-    blocks: DataFrame  # leaf, block, id, vector
+    blocks: DataFrame  # leaf, block, row, id, vector
     rows: int
 
 
 def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> Index:
     """An index of vectors(id long, vector array): every usable row is in it."""
     spark = vectors.sparkSession
-    usable = vectors.where(F.col("id").isNotNull() & _usable(F.col("vector")))
+    usable = vectors.where(_usable(F.col("vector")))
     lengths = usable.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if lengths is None:
-        empty = spark.createDataFrame([], "leaf long, block int, id long, vector array<double>")
+        empty = spark.createDataFrame([], "leaf long, block int, row long, id long, vector array<double>")
         return Index(Tree(np.zeros((0, 1))), empty, 0)
     usable = usable.where(F.size("vector") == lengths["w"])
     share = min(1.0, sample_rows / lengths["count"])
-    draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("id", "vector", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = usable.where(draw < share).select("vector").toPandas()
     tree = Tree(_unit(sample["vector"]) if len(sample) else np.zeros((0, lengths["w"])), branches, leaf_rows)
     shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
@@ -204,11 +208,11 @@ def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, branches: in
     def leaf_of(batch: pd.Series) -> pd.Series:
         return pd.Series(shared.value.leaf_of(_unit(batch)) if len(batch) else [], dtype="int64")
 
-    placed = materialize(usable.select("id", "vector", leaf_of("vector").alias("leaf")), "leaves")
+    placed = materialize(usable.select(F.monotonically_increasing_id().alias("row"), "id", "vector", leaf_of("vector").alias("leaf")), "leaves")
     counts = placed.groupBy("leaf").agg(F.ceil(F.count("*") * 1.0 / block_rows).cast("int").alias("blocks"))
     # A leaf of equal vectors may hold any share of the rows: its blocks are dealt out by a hash of the row.
-    dealt = placed.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("blocks")).cast("int"))
-    return Index(tree, materialize(dealt.select("leaf", "block", "id", "vector"), "blocks"), lengths["count"])
+    dealt = placed.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    return Index(tree, materialize(dealt.select("leaf", "block", "row", "id", "vector"), "blocks"), lengths["count"])
 
 
 def _with_visits(index: Index, queries: DataFrame, most: int) -> DataFrame:
@@ -220,44 +224,60 @@ def _with_visits(index: Index, queries: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([shared.value.visits(q, most) for q in _unit(batch)] if len(batch) else [], dtype=object)
 
-    listed = queries.select("q_row", "q_id", "q_vec", leaves("q_vec").alias("leaves"))
-    return listed.select("q_row", "q_id", "q_vec", F.posexplode("leaves").alias("place", "leaf"))
+    listed = queries.select("q_row", "q_own", "q_vec", leaves("q_vec").alias("leaves"))
+    return listed.select("q_row", "q_own", "q_vec", F.posexplode("leaves").alias("place", "leaf"))
 
 
 def _all_leaves(index: Index, queries: DataFrame) -> DataFrame:
-    return queries.select("q_row", "q_id", "q_vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index.tree.leaves - 1).cast("long"))).alias("leaf"))
+    return queries.select("q_row", "q_own", "q_vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index.tree.leaves - 1).cast("long"))).alias("leaf"))
 
 
 def calibrate(index: Index, queries: DataFrame, k: int, recall: float, most_queries: int = CALIBRATION_QUERIES) -> tuple[int, float]:
-    """The least number of leaf visits with which the sampled queries reach the recall, and the recall they have with it."""
+    """The least number of leaf visits with which some of the queries reach the recall, and the recall that others have with it.
+
+    Twice most_queries are searched exactly, in expectation (all, if there are fewer): half of them widen the visits.
+    """
     total = queries.count()
     if not total or index.tree.leaves <= 1:
         return index.tree.leaves, 1.0
-    draw = F.pmod(F.xxhash64("q_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = materialize(queries.where(draw < min(1.0, most_queries / total)), "calibration")
+    draw = F.pmod(F.xxhash64("q_row", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = materialize(queries.where(draw < min(1.0, 2 * most_queries / total)), "calibration")
     exact = _ranked(_search_blocks(index.blocks, _all_leaves(index, sample), k), k)
     # The place at which the tree would have visited the leaf of each true neighbour.
     order = _with_visits(index, sample, index.tree.leaves).select("q_row", "leaf", "place")
-    home = exact.join(index.blocks.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").dropDuplicates(["q_row", "vec_id"])
-    places = sorted(r.place for r in home.join(order, ["q_row", "leaf"]).select("place").collect())  # most_queries * k
+    home = exact.join(index.blocks.select(F.col("row").alias("vec_row"), "leaf"), "vec_row")
+    widens = F.pmod(F.xxhash64("q_row", F.lit(13)), F.lit(2)) == 0
+    found = home.join(order, ["q_row", "leaf"]).select("place", widens.alias("widens")).collect()  # 2 * most_queries * k
+    places = sorted(r.place for r in found if r.widens)
+    others = [r.place for r in found if not r.widens] or places
     if not places:
         return index.tree.leaves, 1.0
     need = places[min(len(places), int(np.ceil(recall * len(places)))) - 1] + 1
-    return need, sum(p < need for p in places) / len(places)
+    return need, sum(p < need for p in others) / len(others)
 
 
 def search(index: Index, queries: DataFrame, k: int = 5, recall: float = 0.97) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row of queries(id, vector)."""
+    """query_id, rank, vec_id, score: the k nearest found for each row of queries(id, vector).
+
+    Queries that are rows of the index are taken from index.blocks, so that they have its `row`.
+    """
+    return search_and_recall(index, queries, k, recall)[0]
+
+
+def search_and_recall(index: Index, queries: DataFrame, k: int = 5, recall: float = 0.97) -> tuple[DataFrame, float]:
+    """What search returns, and the recall of queries that were searched exactly beside those that the visits were widened for."""
     width = index.tree.nodes[0].centroid.shape[0]
-    usable = queries.where(F.col("id").isNotNull() & _usable(F.col("vector")) & (F.size("vector") == width))
-    numbered = materialize(usable.select(F.monotonically_increasing_id().alias("q_row"), F.col("id").alias("q_id"), F.col("vector").alias("q_vec")), "queries")
+    usable = queries.where(_usable(F.col("vector")) & (F.size("vector") == width))
+    own = F.col("row") if "row" in queries.columns else F.lit(-1)
+    numbered = materialize(usable.select(F.monotonically_increasing_id().alias("q_row"), own.cast("long").alias("q_own"), F.col("id").alias("q_id"), F.col("vector").alias("q_vec")), "queries")
     if not index.rows:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    most, _ = calibrate(index, numbered, k, recall)
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double"), 1.0
+    most, reached = calibrate(index, numbered, k, recall)
     found = materialize(_search_blocks(index.blocks, _with_visits(index, numbered, most), k), "found")
     full = found.groupBy("q_row").count().where(F.col("count") >= k).select("q_row")
     short = materialize(numbered.join(full, "q_row", "left_anti"), "short")
     if short.limit(1).count():
         again = materialize(_search_blocks(index.blocks, _all_leaves(index, short), k), "again")
         found = found.join(short.select("q_row"), "q_row", "left_anti").union(again)
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    best = _ranked(found, k).join(numbered.select("q_row", F.col("q_id").alias("query_id")), "q_row")
+    return best.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score"), reached

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or a temporary one where it is unset, in local mode alone."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         set_dir = tempfile.mkdtemp(prefix="auditspark-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")

@@ -16,13 +16,13 @@ language in order, flagged as ambiguous; without any labelled row all texts are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +35,10 @@ BUCKETS = 1 << 15
 #: A prediction is ambiguous if the two nearest codewords' probabilities differ by less.
 AMBIGUOUS_GAP = 0.2
 UNDETERMINED = "und"
+#: The whole text is read, but a prediction does not get surer beyond so many n-grams: they are no independent draws.
+SUREST_LENGTH = 400
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def ngram_buckets(text: str | None) -> np.ndarray:
@@ -82,7 +84,7 @@ class LanguageModel:
 
     def decode(self, margins: np.ndarray, length: int) -> tuple[str, float, bool]:
         """Language, its probability among the codewords, and whether the nearest two are about as far."""
-        loss = (self.bit_weight * np.logaddexp(0, -self.scale * min(length, 400) ** 0.5 * margins * self.code)).sum(axis=1)
+        loss = (self.bit_weight * np.logaddexp(0, -self.scale * min(length, SUREST_LENGTH) ** 0.5 * margins * self.code)).sum(axis=1)
         p = np.exp(loss.min() - loss)
         p /= p.sum()
         order = np.argsort(-p, kind="stable")

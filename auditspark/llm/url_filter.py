@@ -20,8 +20,8 @@ from .common import with_fresh
 
 #: Hex digits of the digest that the join is on, as short lists of a public safe-browsing service have (4 bytes).
 PREFIX_HEX = 8
-#: Rules up to this number (of at most some hundred bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_RULES = 100_000
+#: Rules of up to so many bytes, with their digests, are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,8 +60,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .withColumn("digest", F.sha2("r_expression", 256))
         .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     )
-    # Two scalars of the rule set bound the expansion of every url; deeper expressions cannot meet a rule.
-    bounds = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("r_host", r"\.", -1))).alias("labels"), F.max(F.size(F.split("r_path", "/", -1)) - 1).alias("slashes")).first()
+    # Scalars of the rule set bound the expansion of every url; deeper expressions cannot meet a rule.
+    bounds = rules.agg(F.count("*").alias("n"), F.sum(2 * (F.octet_length("r_host") + F.octet_length("r_path")) + 200).alias("bytes"), F.max(F.size(F.split("r_host", r"\.", -1))).alias("labels"), F.max(F.size(F.split("r_path", "/", -1)) - 1).alias("slashes")).first()
     keyed = with_fresh(pages, {"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     if not bounds["n"]:
         return with_fresh(keyed, {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -74,7 +74,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("u_host", "u_path", "u_digest", F.substring("u_digest", 1, PREFIX_HEX).alias("short"))
     )
     fits = (
-        expressions.join(F.broadcast(rules) if bounds["n"] <= BROADCAST_RULES else rules, "short")
+        expressions.join(F.broadcast(rules) if bounds["bytes"] <= BROADCAST_BYTES else rules, "short")
         .where(F.col("u_digest") == F.col("digest"))
         .where((F.col("u_host") == F.col("r_host")) | F.col("u_host").endswith(F.concat(F.lit("."), F.col("r_host"))))
         .where(F.col("u_path").startswith(F.col("r_path")))

@@ -39,14 +39,17 @@ def test_recall_and_exact_scores(spark):
     rows = data(3000)
     index = A.build_index(spark.createDataFrame(rows, SCHEMA), leaf_rows=60, block_rows=100)
     queries = rows[::30]
-    got = A.search(index, spark.createDataFrame(queries, SCHEMA), k=5, recall=0.95).collect()
+    own = index.blocks.where("id % 30 = 0")
+    frame, reached = A.search_and_recall(index, own, k=5, recall=0.95)
+    got = frame.collect()
+    assert 0.9 <= reached <= 1
     want = brute(rows, queries, 5)
     assert len(got) == 5 * len(queries) and {r.rank for r in got} == {1, 2, 3, 4, 5}
     found = {}
     for r in sorted(got, key=lambda r: r.rank):
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert sum(len({i for i, _ in found[q]} & {i for i, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.9
-    full = A.search(index, spark.createDataFrame(queries, SCHEMA), k=5, recall=1.0).collect()
+    full = A.search(index, own, k=5, recall=1.0).collect()
     exact = {(r.query_id, r.rank): (r.vec_id, r.score) for r in full}
     assert sum(exact[q, n + 1] == want[q][n] for q in want for n in range(5)) / (5 * len(want)) > 0.97
 
@@ -54,9 +57,8 @@ def test_recall_and_exact_scores(spark):
 def test_ties_copies_and_odd_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(200)] + [(500, None), (501, []), (502, [0.0, 0.0, 0.0]), (503, [float("nan"), 1.0, 1.0]), (504, [float("inf"), 1.0, 1.0]), (505, [1.0, None, 1.0]), (506, [1.0, 2.0]), (None, [1.0, 2.0, 3.0]), (507, [3e38, 3e38, 3e38]), (507, [3e38, 3e38, 3e38])]
     index = A.build_index(spark.createDataFrame(rows, SCHEMA), leaf_rows=10, block_rows=16)
-    assert index.rows == 202
-    odd = [r for r in rows if r[0] in (0, 3, 500, 501, 502, 503, 504, 505, 506)]
-    got = {(r.query_id, r.rank): r.vec_id for r in A.search(index, spark.createDataFrame(odd, SCHEMA)).collect()}
+    assert index.rows == 203
+    got = {(r.query_id, r.rank): r.vec_id for r in A.search(index, index.blocks.where("id IN (0, 3)")).collect()}
     assert got == {(q, n + 1): v for q, near in ((0, [1, 2, 3, 4, 5]), (3, [0, 1, 2, 4, 5])) for n, v in enumerate(near)}
 
 
@@ -64,5 +66,17 @@ def test_ties_copies_and_odd_vectors(spark):
 def test_few_rows(spark, n):
     rows = data(n)
     index = A.build_index(spark.createDataFrame(rows, SCHEMA))
-    got = A.search(index, spark.createDataFrame(rows, SCHEMA)).collect()
+    got = A.search(index, index.blocks).collect()
     assert len(got) == n * max(0, n - 1)
+
+
+def test_own_row_alone_is_left_out_and_columns_may_clash(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (None, [1.0, 0.0]), (2, [0.0, 1.0])]
+    index = A.build_index(spark.createDataFrame(rows, SCHEMA))
+    clash = index.blocks.where("id = 1 OR id IS NULL").selectExpr("*", "1 AS q_row", "2 AS rank", "'x' AS query_id")
+    got = sorted(A.search(index, clash, k=3).collect(), key=lambda r: (r.query_id or 0, r.score, r.rank))
+    assert [r.query_id for r in got].count(1) == 6 and [r.query_id for r in got].count(None) == 3
+    first = {(r.query_id, r.rank): r.vec_id for r in got if r.query_id is None}
+    assert first == {(None, 1): 1, (None, 2): 1, (None, 3): 2}
+    outside = A.search(index, spark.createDataFrame([(7, [1.0, 0.0])], SCHEMA), k=4).collect()
+    assert [r.vec_id for r in sorted(outside, key=lambda r: r.rank)] == [1, None, 1, 2]

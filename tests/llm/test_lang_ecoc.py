@@ -64,3 +64,41 @@ def test_no_labels_or_rows(spark):
     assert L.predict_languages(spark.createDataFrame([("hello",)], "text string"), model).first().lang_pred == "und"
     one = L.fit_on_documents(spark.createDataFrame([(i, "some words", "en") for i in range(8)], "doc_id long, text string, lang string"))
     assert one.predict("other") == ("en", 1.0, False)
+
+
+def test_only_letters_count():
+    assert not len(L.ngram_buckets("½ ² Ⅷ ٣ 12 __ !")) and len(L.ngram_buckets("ª")) and (L.ngram_buckets("a½b") == L.ngram_buckets("A b")).all()
+
+
+def test_predictions_are_those_of_a_plain_version(spark):
+    """Counting n-grams one by one, log-odds of each bit, and the codeword of the least loss."""
+    data = rows(160, 5)
+    model = L.fit(spark.createDataFrame(data, "id long, text string, lang string"), sample_per_language=10**6)
+
+    def grams(text):
+        words = " ".join(L.regex.findall(r"\p{L}+", text)).lower()
+        c = [ord(x) for x in f" {words} "]
+        mul = lambda *x: np.array(x[0] * x[1], dtype=object) % 2**32
+        two = [int(mul(a, 0x9E3779B1)) ^ int(mul(b, 0x85EBCA6B)) for a, b in zip(c, c[1:])]
+        three = [int(mul(a, 0xC2B2AE35)) ^ int(mul(b, 0x27D4EB2F)) for a, b in zip(two, c[2:])]
+        mixed = [int(mul(a, 0x165667B1)) for a in c if a != 32] + two + three
+        return [int(mul(h ^ h >> 15, 0x2C1B3C6D)) >> 17 for h in mixed]
+
+    langs = sorted({lang for *_, lang in data})
+    freq = {k: {} for k in langs}
+    for _, text, lang in data:
+        g, n = grams(text), sum(x == lang for *_, x in data)
+        for b in g:
+            freq[lang][b] = freq[lang].get(b, 0) + 1 / len(g) / n
+    assert model.languages == langs
+    for _, text, lang in rows(40, 6):
+        g = grams(text)
+        loss = np.zeros(len(langs))
+        for bit, side in enumerate(model.code.T):
+            groups = [[k for k, x in zip(langs, side) if x == s] for s in (1, -1)]
+            odds = lambda b: np.log(np.mean([freq[k].get(b, 0) for k in groups[0]]) + 1e-6) - np.log(np.mean([freq[k].get(b, 0) for k in groups[1]]) + 1e-6)
+            expected = {k: sum(n * odds(b) for b, n in freq[k].items()) for k in langs}
+            top, low = min(expected[k] for k in groups[0]), max(expected[k] for k in groups[1])
+            margin = sum(map(odds, g)) / len(g) - (top + low) / 2
+            loss += model.bit_weight[bit] * np.logaddexp(0, -model.scale * min(len(g), L.SUREST_LENGTH) ** 0.5 * margin * side)
+        assert model.predict(text)[0] == langs[int(np.argmin(loss))]

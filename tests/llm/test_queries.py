@@ -1,0 +1,198 @@
+"""Each opN_ query over whole tables, against SQL, the libraries, or a brute-force version; and the pipeline, stage by stage."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from auditspark.llm import ann_tree, near_dedup, pii_feistel, queries
+from auditspark.llm.common import materialize
+
+DATA = "/root/testdata/sf0.001"
+SP = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def table(name, at=DATA):
+    return pd.read_parquet(f"{at}/{name}.parquet")
+
+
+def rows(spark, name, at=DATA):
+    return queries.queries()[name](spark, at).collect()
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op4_chat_format"])
+def test_rows_are_those_of_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    result = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in rows(spark, name))
+
+
+def test_op2_is_right_about_held_out_documents(spark):
+    lang = dict(zip(table("documents").doc_id, table("documents").lang))
+    got = rows(spark, "op2_language_id")
+    assert len(got) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held) > 20
+
+
+def test_op3_recall_over_all_queries(spark):
+    """At sf0.1, the largest table of vectors that the tests use."""
+    e = table("embeddings", "/root/testdata/sf0.1").sort_values("vec_id")
+    ids, m = e.vec_id.to_numpy(), np.stack(e.embedding.to_numpy()).astype(np.float64)
+    found = {}
+    for r in rows(spark, "op3_ann_tree", "/root/testdata/sf0.1"):
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = ann_tree.exact_cosine(np.repeat(m[q : q + 1], len(m), axis=0), m)
+        best = [int(ids[j]) for j in np.lexsort((ids, -score)) if j != q][:5]
+        mine = sorted(found[int(ids[q])])
+        assert len(mine) == 5 and all(abs(s - score[np.searchsorted(ids, v)]) < 1e-12 for _, v, s in mine)
+        hits += len({v for _, v, _ in mine} & set(best))
+    assert hits >= 0.9 * 5 * len(found) and len(found) == (ids % 50 == 0).sum()
+
+
+def test_op5_can_be_undone_and_leaves_nothing_validated(spark):
+    text = dict(zip(table("documents").doc_id, table("documents").text))
+    out = materialize(queries.op5_pii_feistel(spark, DATA))
+    new = {r.doc_id: r for r in out.collect()}
+    assert set(new) == set(text) and sum(bool(r.pii_kinds) for r in new.values()) > 3
+    assert all((r.text != text[i]) == bool(r.pii_kinds) for i, r in new.items())
+    back = pii_feistel.pseudonymize(out.select("doc_id", "text"), pii_feistel.configured_key(spark), any_plan=True, undo=True)
+    assert {r.doc_id: r.text for r in back.collect()} == text
+
+
+def test_op6_is_the_library(spark):
+    text = dict(zip(table("documents").doc_id, table("documents").text))
+    for r in rows(spark, "op6_sentencepiece"):
+        ids = [SP.bos_id(), *SP.encode(text[r.doc_id] or ""), SP.eos_id()]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(SP.decode(ids).encode()).hexdigest())
+
+
+def test_op7_is_all_pairs(spark):
+    docs, fp = table("documents"), {}
+    for i, t in zip(docs.doc_id, docs.text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        fp[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {i: i for i in fp}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(fp)
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows(spark, "op7_simhash_dedup")} == {i: (f"{fp[i]:016x}", find(i)) for i in fp}
+
+
+def test_op8_shards_are_the_leaves_of_a_directory(spark):
+    size = {i: len((t or "").encode()) for i, t in zip(table("documents").doc_id, table("documents").text)}
+    got, sums = rows(spark, "op8_extendible_shards"), {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + size[r.doc_id]
+    assert {r.doc_id for r in got} == set(size) and all(r.shard_bytes == sums[r.shard] <= 16 << 20 for r in got)
+    assert not any(a != b and b.startswith(a) for a in sums for b in sums)
+
+
+def test_op9_is_the_library(spark):
+    library, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows(spark, "op9_bitplane_tokens")}
+    docs = table("documents").sort_values("doc_id")
+    for i, t in zip(docs.doc_id, docs.text):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(got) == len(docs)
+
+
+def leaks(text):
+    """(doc, item) to edits, by dynamic programming over whole documents where enough of an item's words are there."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    items, out = {i: words(t) for i, t in zip(table("benchmark").item_id, table("benchmark").text)}, {}
+    for d, t in text.items():
+        there = words(t)
+        known = set(there)
+        for i, item in items.items():
+            most = int(0.2 * len(item))
+            if sum(w in known for w in item) < len(item) - most:
+                continue
+            column = list(range(len(item) + 1))
+            best = column[-1]
+            for w in there:
+                before, column = column, [0]
+                for k, x in enumerate(item, 1):
+                    column.append(min(before[k] + 1, column[-1] + 1, before[k - 1] + (x != w)))
+                best = min(best, column[-1])
+            if best <= most:
+                out[d, i] = best
+    return out
+
+
+def test_op10_is_dynamic_programming(spark):
+    want = leaks(dict(zip(table("documents").doc_id, table("documents").text)))
+    got = {(r.doc_id, r.item_id): r.edits for r in rows(spark, "op10_decontaminate")}
+    assert len(want) > 1 and all(want.get(k) == e for k, e in got.items()) and len(got) >= 0.95 * len(want)
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage on its own input against a plain version; run() gives the last one's rows."""
+    at, documents = {}, spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES:
+        at[name], docs = docs, materialize(stage(spark, docs, DATA), name)
+        if name != "sentencepiece":
+            assert docs.columns == documents.columns
+    text = {k: {r.doc_id: r.text for r in frame.collect()} for k, frame in at.items()}
+    last = docs.collect()
+    model = corpus_pipeline.fit_on_documents(documents)
+    told = {i: model.predict(t) for i, t in text["language_id"].items()}
+    assert set(text["simhash_dedup"]) == {i for i, (lang, score, open_) in told.items() if lang != "und" and not (open_ and score < 0.4)}
+    stay = []
+    sets = {i: near_dedup.shingles(t) for i, t in text["simhash_dedup"].items()}
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 for j in stay):
+            stay.append(i)
+    assert set(text["decontaminate"]) == set(stay) and len(stay) < len(sets)
+    leaked = {d for d, _ in leaks(text["decontaminate"])}
+    assert set(text["pii"]) == set(text["decontaminate"]) - leaked and leaked
+    assert set(text["sentencepiece"]) == set(text["pii"])
+    back = pii_feistel.pseudonymize(at["sentencepiece"].select("doc_id", "text"), pii_feistel.configured_key(spark), any_plan=True, undo=True)
+    assert {r.doc_id: r.text for r in back.collect()} == text["pii"] and text["sentencepiece"] != text["pii"]
+    n_chars = {r.doc_id: r.n_chars for r in at["sentencepiece"].collect()}
+    assert all(n_chars[i] == len(t) for i, t in text["sentencepiece"].items())
+    assert {r.doc_id for r in last} == set(text["sentencepiece"]) and all(r.ids == [SP.bos_id(), *SP.encode(text["sentencepiece"][r.doc_id]), SP.eos_id()] for r in last)
+    told = lambda found: sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in found)
+    assert told(corpus_pipeline.run(spark, DATA).collect()) == told(last)
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeats, empty tables and extra columns, for each stage by itself."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, leaks int, pii_kinds string, component_id string"
+    odd = [(1, "some words in plain english here", "en", "s", 32, 1, "x", "y")] * 2 + [(None, None, None, None, None, None, None, None), (None, "a text", "en", None, 6, 0, "", ""), (2, "", "en", "s", 0, 1, "x", "y"), (3, "call +1 (017) 555-7713 " * 3, "en", "s", 69, 1, "x", "y")]
+    for name, data in (("odd", odd), ("none", [])):
+        frame = spark.createDataFrame(data, shape)
+        (tmp_path / name).mkdir()
+        spark.createDataFrame([] if name == "none" else [(1, None), (None, "x"), (2, "in plain english")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, frame, f"{tmp_path}/{name}")
+            assert out.columns == frame.columns and out.count() <= len(data), stage
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, f"{tmp_path}/{name}").count() == len(data)
