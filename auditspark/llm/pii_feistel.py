@@ -60,7 +60,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def feistel(values: Column, radices: Column, kind: str, key: str, undo: bool = False) -> Column:
+def feistel(values: Column, radices: Column, kind: str | Column, key: str, undo: bool = False) -> Column:
     """values (array of long, each below its radix) permuted; a radix of 1 leaves its symbol alone."""
     sign = -1 if undo else 1
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
@@ -216,18 +216,23 @@ def _date(m: Column, key: str, undo: bool) -> Column:
         number = lambda iso, by_day, by_month: F.when(order == 0, part(iso)).when(order == 1, part(by_day)).when(order == 2, part(by_month)).cast("int")
         return F.struct(order.alias("order"), number(0, 2, 2).alias("y"), number(1, 1, 0).alias("m"), number(2, 0, 1).alias("d"), parts.alias("parts"))
 
-    def moved(days: Column) -> Callable[[Column], Column]:
-        return lambda n: F.struct((F.get(n, F.lit(1)) + FIRST_YEAR).alias("y"), F.get(days, F.get(n, F.lit(0)).cast("int")).alias("of"))
-
     def mapped(w: Column) -> Column:
-        of = 100 * w["m"] + w["d"]
-        cases = F.when(of == 229, _let(F.array_position(_ints(*leap_years), w["y"].cast("long")) - 1, lambda i: _let(feistel(F.array(i, F.lit(0).cast("long")), _ints(len(leap_years), 1), "leap day", key, undo), lambda n: F.struct(F.get(_ints(*leap_years), F.get(n, F.lit(0)).cast("int")).alias("y"), F.lit(229).cast("long").alias("of")))))
-        for k, days in enumerate(classes):
-            slots, low, first = _ints(*days), k < 3, (1, 10, 13)[k % 3]
-            here = ((w["m"] < 10) == F.lit(low)) & w["d"].between(first, (9, 12, 31)[k % 3])
-            values = F.array(F.array_position(slots, of.cast("long")) - 1, (w["y"] - FIRST_YEAR).cast("long"))
-            cases = cases.when(here, _let(feistel(values, _ints(len(days), YEARS), f"date {k}", key, undo), moved(slots)))
-        return F.when(w["order"].isNotNull() & w["y"].between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), _let(cases, lambda x: shown(w, x)))
+        late = F.when(w["d"] > 12, 2).when(w["d"] > 9, 1).otherwise(0) + F.when(w["m"] > 9, 3).otherwise(0)
+        of = (100 * w["m"] + w["d"]).cast("long")
+        own = F.when(of == 229, len(classes)).otherwise(late)
+        slots = F.get(F.array(*[_ints(*days) for days in classes], _ints(*leap_years)), own)
+        told = F.struct(own.alias("class"), (own == len(classes)).alias("leap"), slots.alias("slots"), of.alias("of"))
+        known = w["order"].isNotNull() & w["y"].between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
+        return F.when(known, _let(told, lambda c: _let(permuted(w, c), lambda x: shown(w, x))))
+
+    def permuted(w: Column, c: Column) -> Column:
+        """Of the leap day the year alone, of other days the place in their class and the year."""
+        slot = (F.array_position(c["slots"], F.when(c["leap"], w["y"].cast("long")).otherwise(c["of"])) - 1).cast("long")
+        year = F.when(c["leap"], 0).otherwise(w["y"] - FIRST_YEAR).cast("long")
+        radices = F.array(F.size(c["slots"]).cast("long"), F.when(c["leap"], 1).otherwise(YEARS).cast("long"))
+        new = feistel(F.array(slot, year), radices, F.concat(F.lit("date "), c["class"].cast("string")), key, undo)
+        at = lambda n: F.get(c["slots"], F.get(n, F.lit(0)).cast("int"))
+        return _let(new, lambda n: F.struct(F.when(c["leap"], at(n)).otherwise(F.get(n, F.lit(1)) + FIRST_YEAR).alias("y"), F.when(c["leap"], 229).otherwise(at(n)).cast("long").alias("of")))
 
     def shown(w: Column, x: Column) -> Column:
         width = lambda value, i: F.lpad(value.cast("string"), F.length(F.get(w["parts"], F.lit(i))), F.lit("0"))

@@ -117,14 +117,12 @@ def test_dates_are_permuted_within_their_written_format_and_can_be_undone(spark)
         a, b, y = map(int, re.split("[./]", s))
         return datetime.date(y, b, a) if b <= 12 else datetime.date(y, a, b)
 
-    linked = {}
-    for name, shape in shapes.items():
-        texts = list(dict.fromkeys(shape(d) for d in days))
-        new, kinds = run(spark, texts)
-        assert all(k == ["date"] for k in kinds) and len(set(new)) == len(texts) and run(spark, new, undo=True)[0] == texts
-        for before, after in zip(texts, new):
-            assert re.sub(r"\d", "0", before) == re.sub(r"\d", "0", after)
-            assert linked.setdefault(read(before), read(after)) == read(after) and 1800 <= read(after).year < 2200
+    linked, texts = {}, list(dict.fromkeys(shape(d) for shape in shapes.values() for d in days))
+    new, kinds = run(spark, texts)
+    assert all(k == ["date"] for k in kinds) and len(set(new)) == len(texts) and run(spark, new, undo=True)[0] == texts
+    for before, after in zip(texts, new):
+        assert re.sub(r"\d", "0", before) == re.sub(r"\d", "0", after)
+        assert linked.setdefault(read(before), read(after)) == read(after) and 1800 <= read(after).year < 2200
     assert sum(d == e for d, e in linked.items()) < 10
 
 
