@@ -41,5 +41,21 @@ def test_entry_and_plans(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries()) and set(catalog.oracle_sql()) <= set(__spark_entry__.oracle_sql())
-    plan = catalog.queries()["vector_topk"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan or "AdaptiveSparkPlan" in plan
+    plan = lambda name: catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan("vector_topk")
+    daily = plan("daily_amount")
+    assert daily.count("FileScan parquet") == 2 and "IsNotNull(l_partkey)]" in daily and "l_returnflag" not in daily
+    assert "CartesianProduct" not in plan("trigram_pairs") and "BroadcastNestedLoopJoin" not in plan("near_dup_pairs")
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from auditspark.operators.graph import shared_folder
+
+    told = {"spark.checkpoint.dir": None}
+    context = SimpleNamespace(getConf=lambda: told, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=context))
+    told["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert shared_folder(SimpleNamespace(sparkContext=context)) == "hdfs://shared"
