@@ -80,8 +80,10 @@ def sentences(text: Column, ends: str = SENTENCE_ENDS) -> Column:
 
 
 def summary(text: Column, ends: str = "。！？", enough: int = 80, most: int = 150, least: int = 5) -> Column:
-    """Sentences of at least `least` characters until `enough` are gathered, at most `most`; else the text's beginning."""
-    usable = F.filter(F.transform(sentences(text, ends), F.trim), lambda s: F.length(s) >= least)
+    """Sentences of at least `least` characters until `enough` are gathered, at most `most`; else the text's beginning. Line ends
+    count as spaces."""
+    text = F.trim(F.translate(text, "\n", " "))
+    usable = F.filter(F.transform(sentences(text, ends), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
     gathered = F.aggregate(usable, F.lit(""), lambda acc, s: F.when(F.length(acc) >= enough, acc).otherwise(F.concat(acc, s)))
     return F.when(F.length(gathered) > 0, F.left(gathered, F.lit(most))).otherwise(F.left(text, F.lit(enough)))
 

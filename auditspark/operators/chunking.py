@@ -71,7 +71,7 @@ def semantic_chunks(docs: DataFrame, least: int = 300, most: int = 700, keep: in
 
     Splitting and filtering are Columns; the merge, which depends on what was merged before, is a short pandas UDF.
     """
-    paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), F.trim), lambda p: F.length(p) >= 10)
+    paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) >= 10)
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(sentences(p))))
 
     @F.pandas_udf("array<string>")

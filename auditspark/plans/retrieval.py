@@ -95,7 +95,7 @@ def trigram_pairs(spark, d):
     return search.trigram_join(names, "p_name", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH {v.CHUNKS} SELECT string_agg('[' || n || '] ' || left(content, 500), chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS n FROM ({near(5)}))")
 def answer_context(spark, d):
     return search.context(search.dispatch("unknown", {"vector": lambda: search.vector_search(v.chunks(spark, d), VECTOR, 5), "bm25": lambda: search.keyword_search(v.chunks(spark, d), WORDS, 5)}))
 

@@ -130,7 +130,10 @@ def brief_summary(spark, d):
     return v.table(spark, d, "documents").select("doc_id", T.brief(F.col("text")).alias("brief"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, trim(replace(text, chr(10), ' '), ' ') AS text FROM documents),
+u AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: length(s) >= 5) AS s FROM t),
+g AS (SELECT doc_id, text, list_reduce(list_prepend('', s), lambda acc, x: CASE WHEN length(acc) >= 80 THEN acc ELSE acc || x END) AS g FROM u)
+SELECT doc_id, CASE WHEN length(g) > 0 THEN left(g, 150) ELSE left(text, 80) END AS summary FROM g""")
 def sentence_summary(spark, d):
     return v.table(spark, d, "documents").select("doc_id", T.summary(F.col("text"), ".").alias("summary"))
 
