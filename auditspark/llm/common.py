@@ -37,3 +37,9 @@ def with_fresh(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def finite_vector(vector: Column) -> Column:
+    """Not null, not empty, and all components there and finite."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vector.isNotNull() & (F.size(vector) > 0) & good

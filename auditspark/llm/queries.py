@@ -14,6 +14,7 @@ from .bitplane_tokens import CHUNKS, read_documents, write_chunks
 from .cgk_decontam import find_leaks
 from .chat_tree import as_chain, format_paths, read_loss_texts, read_turns, reply_paths
 from .common import shared_dir, table
+from .dual_lloyd import cluster, whole_vectors, with_inertia
 from .extend_shard import assign_shards
 from .lang_ecoc import fit_on_documents, held_out, predict_languages
 from .sp_chunks import encode_and_decode
@@ -115,9 +116,35 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.edits")
 
 
+CLUSTERS, ROUNDS, WIDTH = 40, 5, 64
+
+
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH)
+    found = with_inertia(*cluster(spark, vectors, WIDTH, CLUSTERS, ROUNDS, seed=2))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op11_sql() -> str:
+    """The rounds written out."""
+    nearest = "SELECT vec_id, min(gap * 1000 + c) % 1000 AS c, min(gap * 1000 + c) // 1000 AS gap FROM (SELECT vec_id, c, sum((x - y) * (x - y))::BIGINT AS gap FROM x JOIN c{0} USING (d) GROUP BY ALL) GROUP BY vec_id"
+    moved = "SELECT c, d, coalesce(z, y) AS y FROM c{0} LEFT JOIN (SELECT c, d, floor(sum(x) / count(*))::BIGINT AS z FROM a{0} JOIN x USING (vec_id) GROUP BY ALL) USING (c, d)"
+    steps = [f"a{i} AS MATERIALIZED ({nearest.format(i)}), c{i + 1} AS MATERIALIZED ({moved.format(i)})" for i in range(ROUNDS)]
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT vec_id, unnest(range({WIDTH})) AS d, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM embeddings
+  WHERE len(embedding) = {WIDTH} AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT c, d, x AS y FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM x) QUALIFY c < {CLUSTERS}) JOIN x USING (vec_id)),
+{", ".join(steps)}, last AS MATERIALIZED ({nearest.format(ROUNDS)})
+SELECT vec_id, c::INTEGER AS cluster, gap::BIGINT AS distance, (sum(gap) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(gap) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM last JOIN (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY c) USING (c)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and not name.endswith("_sql")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op11_dual_tree_lloyd": op11_sql()}
