@@ -21,6 +21,7 @@ from .sp_chunks import encode_and_decode
 from .pii_feistel import configured_key, pseudonymize
 from .simhash_trie import fingerprint_hex, simhash_groups
 from .url_filter import judge_urls
+from .va_negatives import hard_negatives
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -142,9 +143,30 @@ FROM last JOIN (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY d)) AS cent
 """
 
 
+def op12_va_file_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), noisy.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives(vectors, F.col("id") % 50 == 0, positives=5, negatives=3, window=(50, 95))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, [floor(256 * e::DOUBLE) FOR e IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.l = b.l AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and not name.endswith("_sql")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op11_dual_tree_lloyd": op11_sql()}
+    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op11_dual_tree_lloyd": op11_sql(), "op12_va_file_negatives": OP12_SQL}
