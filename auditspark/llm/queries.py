@@ -16,6 +16,7 @@ from .chat_tree import as_chain, format_paths, read_loss_texts, read_turns, repl
 from .common import shared_dir, table
 from .dual_lloyd import cluster, whole_vectors, with_inertia
 from .extend_shard import assign_shards
+from .itq_dedup import near_vectors
 from .lang_ecoc import fit_on_documents, held_out, predict_languages
 from .sp_chunks import encode_and_decode
 from .pii_feistel import configured_key, pseudonymize
@@ -164,9 +165,28 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 *
 """
 
 
+def op13_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return near_vectors(vectors, least=0.98).withColumnRenamed("id", "vec_id")
+
+
+#: The links themselves; the query finds those that the codes show, nearly all (see its tests for the recall).
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS c FROM reached GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN counted ON vec_id = counted.a LEFT JOIN least ON vec_id = least.a
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and not name.endswith("_sql")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op11_dual_tree_lloyd": op11_sql(), "op12_va_file_negatives": OP12_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op11_dual_tree_lloyd": op11_sql(), "op12_va_file_negatives": OP12_SQL, "op13_itq_near_dedup": OP13_SQL}
