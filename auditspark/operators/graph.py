@@ -144,12 +144,13 @@ def least_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(now, F.col("id") == F.col("u"), "left").select(F.col("id").alias("node"), F.coalesce("v", "id").alias("label"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, least: int = 2, shown: int = 3, words: int = 5) -> DataFrame:
-    """community, size, label, keywords of every component of at least `least` nodes(id, name); names in order of id.
+def communities(edges: DataFrame, nodes: DataFrame, least: int = 2, shown: int = 3, words: int = 5, membership: DataFrame | None = None) -> DataFrame:
+    """community, size, label, keywords of every community of at least `least` nodes(id, name); names in order of id.
 
-    A component may hold any number of nodes: its first names are picked by rank and not gathered all.
+    membership(node, community) tells the communities; without it they are the connected components. One may hold any number of nodes: its first names are picked by rank and not gathered all.
     """
-    labelled = least_labels(edges, nodes.select("id")).join(nodes.select(F.col("id").alias("node"), "name"), "node")
+    found = least_labels(edges, nodes.select("id")) if membership is None else membership.select("node", F.col("community").alias("label"))
+    labelled = found.join(nodes.select(F.col("id").alias("node"), "name"), "node")
     sizes = labelled.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     ranked = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("node"))).where(F.col("rank") <= words)
     first = ranked.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("keywords"))

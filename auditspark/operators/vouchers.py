@@ -11,6 +11,7 @@ from ..functions import validate as V
 from ..functions.catalogue import OTHER, TYPES_OF, category_of_type, type_catalogue
 from ..functions.providers import Provider, provided
 from ..functions.text import char_overlap, sanitize_filename
+from .graph import cut
 from .quality import normalized_extension
 
 # The record of an image that was not recognised.
@@ -104,12 +105,43 @@ def update_task(queue: DataFrame, done: DataFrame, order: str) -> DataFrame:
     return joined.drop("__t", "__p", "__status", "__first")
 
 
+def numbered(rows: DataFrame, kind: str, order: str) -> DataFrame:
+    """rows with `number`, from 1 in each kind by order, which must tell rows of a kind apart.
+
+    Rows are dealt out in ranges of (kind, order) and numbered within a range; what stands before is known from the ranges' counts. So no
+    kind has to fit one task.
+    """
+    dealt = cut(rows.repartitionByRange(F.col(kind), F.col(order)).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(F.col("__part").alias("p"), F.col(kind).alias("k")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__part", kind).orderBy(order))
+    joined = dealt.withColumn("__within", within).join(counts.select("p", "k", before.alias("before")), (F.col("__part") == F.col("p")) & F.col(kind).eqNullSafe(F.col("k")))
+    return joined.withColumn("number", F.col("before") + F.col("__within")).drop("__part", "__within", "p", "k", "before")
+
+
 def file_layout(rows: DataFrame, kind: str, name: str, order: str) -> DataFrame:
     """rows with folder, file and twin: a folder for each type, files numbered in it, and the text file beside each."""
     safe = sanitize_filename(F.coalesce(F.col(kind), F.lit(OTHER)))
-    number = F.row_number().over(Window.partitionBy(kind).orderBy(order))
-    file = F.concat(F.lpad(number.cast("string"), 4, "0"), F.lit("_"), safe, F.lit("_"), sanitize_filename(F.col(name)))
-    return rows.withColumn("folder", safe).withColumn("file", file).withColumn("twin", F.concat(F.regexp_replace("file", r"\.[A-Za-z0-9]+$", ""), F.lit(".txt")))
+    file = F.concat(F.format_string("%04d", "number"), F.lit("_"), safe, F.lit("_"), sanitize_filename(F.col(name)))
+    laid = numbered(rows, kind, order).withColumn("folder", safe).withColumn("file", file)
+    return laid.withColumn("twin", F.concat(F.regexp_replace("file", r"\.[A-Za-z0-9]+$", ""), F.lit(".txt"))).drop("number")
+
+
+# The lines of a text twin, and what stands where nothing is known.
+TWIN_KEYS = (("日期", "date"), ("总金额", "total_amount"), ("相关方", "relevant_party"), ("统一社会信用代码", "unified_social_credit_code"), ("资产名称", "asset_name"), ("签字人", "signer"))
+TWIN_VERDICT = (("风险评级", "risk_rating", "高风险"), ("审计结论", "audit_conclusion", "不通过"), ("风险说明", "risk_description", "未识别"))
+
+
+def twin_text(rows: DataFrame, at: str, kind: str = "image_type") -> Column:
+    """What the text twin of a row says: when, of what type, the facts, the verdict, and the whole row as JSON. Columns that rows do
+    not have, and nulls, are shown as N/A, or as the verdict on what cannot be read."""
+    there = set(rows.columns)
+    told = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in there else F.lit(other)
+    line = lambda shown, value, indent="": F.concat(F.lit(f"{indent}{shown}："), value, F.lit("\n"))
+    facts = [line(shown, told(c, "N/A"), "  - ") for shown, c in TWIN_KEYS]
+    verdict = [line(shown, told(c, other)) for shown, c, other in TWIN_VERDICT]
+    head = [F.lit("=== 图片关键信息 ===\n"), line("审计时间", F.lit(at)), line("图片类型", told(kind, OTHER)), F.lit("核心信息：\n")]
+    return F.concat(*head, *facts, *verdict, F.lit("\n=== 完整识别内容 ===\n"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if rows.schema[c].dataType.typeName() != "binary"])))
 
 
 def stage_log(statuses: DataFrame, batch: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, graphs, ingest, knowledge, relational, retrieval, streams, vouchers  # noqa: F401
+from . import files, graphs, ingest, knowledge, media, relational, retrieval, streams, vouchers  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import char_overlap
-from ..operators import graph
+from ..operators import communities, graph
 from . import views as v
 from .registry import query
 
@@ -143,6 +143,45 @@ def community_summaries(spark, d):
     return graph.communities(v.edges(spark, d), v.entities(spark, d)).withColumn("keywords", F.array_join("keywords", ","))
 
 
+SUPPLIED = "supplied AS (SELECT l_suppkey + 3000000 AS src, l_partkey + 5000000 AS dst, sum(l_quantity) / 50 AS weight FROM lineitem GROUP BY ALL)"
+
+
+def supplied(spark, d):
+    """Suppliers and parts, by the quantity that was supplied."""
+    return v.table(spark, d, "lineitem").groupBy((F.col("l_suppkey") + 3000000).alias("src"), (F.col("l_partkey") + 5000000).alias("dst")).agg((F.sum("l_quantity") / 50).alias("weight"))
+
+
+@query()
+def modularity_communities(spark, d):
+    """Every supplier and part with its community."""
+    e = supplied(spark, d)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return communities.modularity_communities(e, nodes)
+
+
+@query()
+def modularity_summaries(spark, d):
+    """The communities of suppliers and parts with their first names."""
+    e = supplied(spark, d)
+    s = v.table(spark, d, "supplier").select((F.col("s_suppkey") + 3000000).alias("id"), F.col("s_name").alias("name"))
+    nodes = s.union(v.table(spark, d, "part").select((F.col("p_partkey") + 5000000).alias("id"), F.col("p_name").alias("name")))
+    found = communities.modularity_communities(e, nodes)
+    return graph.communities(e, nodes, membership=found).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query(f"""WITH {SUPPLIED}, e AS (SELECT src, dst, round(weight * 1000)::BIGINT AS w FROM supplied),
+c AS (SELECT s_suppkey + 3000000 AS node, s_nationkey AS com FROM supplier UNION ALL SELECT dst, arg_max(s_nationkey, (w, -src)) FROM e JOIN supplier ON src = s_suppkey + 3000000 GROUP BY dst),
+t AS (SELECT com, sum(w) AS tot FROM (SELECT src AS node, w FROM e UNION ALL SELECT dst, w FROM e) JOIN c USING (node) GROUP BY com),
+i AS (SELECT a.com, sum(w) AS inner_w FROM e JOIN c a ON src = a.node JOIN c b ON dst = b.node WHERE a.com = b.com GROUP BY 1)
+SELECT (SELECT sum(inner_w) FROM i) / (sum(tot) / 2) - sum(tot::DOUBLE * tot) / (sum(tot) * sum(tot)::DOUBLE) AS modularity FROM t""")
+def modularity_by_nation(spark, d):
+    """The modularity that nations have as communities; a part is of the nation that supplies the most of it."""
+    e, s = supplied(spark, d), v.table(spark, d, "supplier").select((F.col("s_suppkey") + 3000000).alias("node"), F.col("s_nationkey").cast("long").alias("community"))
+    most = F.max_by("community", F.struct(F.round(F.col("weight") * 1000).alias("w"), (-F.col("src")).alias("s")))
+    parts = e.join(s, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(most.alias("community"))
+    return communities.modularity(e, s.union(parts))
+
+
 @query(f"WITH {v.GRAPH}, ids AS (SELECT DISTINCT (id + 3) % 500 AS id FROM entities WHERE entity_type IN ('region', 'nation')) SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT id FROM ids)")
 def chunks_of_entities(spark, d):
     ids = v.entities(spark, d).where(F.col("entity_type").isin("region", "nation")).select(F.explode(F.array((F.col("id") + 3) % 500)).alias("id")).distinct()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pixels import measured
 from ..functions.text import money
 from ..operators.quality import normalized_extension
 
@@ -70,6 +71,18 @@ def image_rows(files: DataFrame, known_md5: DataFrame | None = None, least_kb: i
     return rows if known_md5 is None else rows.join(known_md5.select(F.col("md5").alias("k")), F.col("md5") == F.col("k"), "left_anti")
 
 
+def measured_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, size (bytes), width, height, variance, hash of image files below path, decoded in the tasks.
+
+    One that cannot be decoded has neither sides nor measures. Of empty files there are no rows: Spark passes over them.
+    """
+    read = spark.read.format("image").option("recursiveFileLookup", True).load(path)
+    side = lambda c: F.when(F.col(f"image.{c}") > 0, F.col(f"image.{c}")).alias(c)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows = read.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), F.col("_metadata.file_size").alias("size"), side("width"), side("height"), measured(F.col("image")).alias("m"))
+    return rows.select("path", "name", "size", "width", "height", "m.variance", "m.hash")
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
     """line, value (variant), ok: lines that do not parse are kept and marked."""
     parsed = spark.read.text(path).withColumn("v", F.try_parse_json("value"))

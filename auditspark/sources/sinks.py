@@ -50,3 +50,11 @@ def append_tasks(queue: DataFrame, new: DataFrame) -> DataFrame:
     from ..operators.dml import insert_or_ignore
 
     return insert_or_ignore(queue, new.withColumn("retry_status", F.lit("pending")).select(*queue.columns), ["task_type", "image_path"])
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Files of rows(file, content, text) below a folder that all machines have mounted, with their text twins (see file_layout)."""
+    from .file_layout import FileLayout
+
+    rows.sparkSession.dataSource.register(FileLayout)
+    rows.select("file", "content", "text").write.format("file_layout").mode("append").save(path)
