@@ -76,9 +76,13 @@ def trigram_join(names: DataFrame, column: str, least: float = 0.3) -> DataFrame
     Values meet on trigrams and not all with all. Of a value's trigrams, from the rarest on, only so many are joined on that
     one of them must be shared by any value as similar as that; so frequent trigrams are hardly ever joined on.
     """
-    own = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct().withColumn("grams", trigrams(F.col("name")))
-    listed = own.select("name", F.explode("grams").alias("gram"))
-    counts = listed.groupBy("gram").agg(F.count("*").alias("n"))
+    own = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
+    listed = own.select("name", F.explode(trigrams(F.col("name"))).alias("gram"))
+    return similar_by_grams(listed, listed.groupBy("gram").agg(F.count("*").alias("n")), least)
+
+
+def similar_by_grams(listed: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity of names a < b of listed(name, gram); counts(gram, n) tells how often each trigram stands."""
     ranked = listed.join(counts, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
     need = F.size("ranked") - F.ceil(F.size("ranked") * least - 1e-9) + 1
     first = F.transform(F.slice("ranked", F.lit(1), need.cast("int")), lambda x: x["gram"])
@@ -89,6 +93,7 @@ def trigram_join(names: DataFrame, column: str, least: float = 0.3) -> DataFrame
     left_over = 1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1 + F.least("p_a", "p_b")
     enough = left_over >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
     met = a_keys.join(b_keys, (F.col("gram") == F.col("gram_b")) & (F.col("a") < F.col("b")) & sizes & enough).select("a", "b").distinct()
+    own = ranked.select("name", F.transform("ranked", lambda x: x["gram"]).alias("grams"))
     full = met.join(own.toDF("a", "g_a"), "a").join(own.toDF("b", "g_b"), "b")
     similarity = F.size(F.array_intersect("g_a", "g_b")) / F.size(F.array_union("g_a", "g_b"))
     return full.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords
 from ..functions.vector import literal
-from ..operators import search
+from ..operators import search, trigram_index
+from ..operators.graph import shared_folder
 from . import views as v
 from .registry import query
 
@@ -100,3 +103,48 @@ def answer_context(spark, d):
     return search.context(search.dispatch("unknown", {"vector": lambda: search.vector_search(v.chunks(spark, d), VECTOR, 5), "bm25": lambda: search.keyword_search(v.chunks(spark, d), WORDS, 5)}))
 
 
+
+
+_BUILT: dict[tuple[str, str, str], trigram_index.TrigramIndex] = {}
+
+
+def _index(spark, d, kind):
+    """The index of all texts, or of all names of parts: built once in a session."""
+    at = (spark.sparkContext.applicationId, d, kind)
+    if at not in _BUILT:
+        part = v.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+        texts = part if kind == "part" else v.chunks(spark, d).select("id", F.col("content").alias("text"))
+        _BUILT[at] = trigram_index.build_index(texts, f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}")
+    return _BUILT[at]
+
+
+@query(f"WITH {v.CHUNKS} SELECT id, similarity FROM ({keyed(8)})")
+def keyword_search_indexed(spark, d):
+    """What keyword_search finds, from candidates that the index gives."""
+    found = _index(spark, d, "chunk").narrowed(v.chunks(spark, d), WORDS)
+    return search.keyword_search(found, WORDS, 8).select("id", "similarity")
+
+
+RARE = ["tion the", "Xq", "5", "erth%nnt", "nowhere9"]
+
+
+@query(f"WITH {v.CHUNKS} SELECT id FROM chunks WHERE " + " OR ".join(f"content ILIKE '%{w}%'" for w in RARE))
+def texts_holding(spark, d):
+    """Texts that hold a phrase, a short word, a digit or a pattern, by the index of keyword_search_indexed."""
+    return _index(spark, d, "chunk").holding(v.chunks(spark, d), RARE, "content").select("id")
+
+
+NAMED = "n AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS name FROM part)"
+
+
+@query(f"WITH {NAMED} SELECT id, name FROM n WHERE name ILIKE '%ed bo%' OR name ILIKE '%d#2%'")
+def parts_holding(spark, d):
+    rows = v.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return _index(spark, d, "part").holding(rows, ["ed bo", "d#2"], "name")
+
+
+@query(f"WITH {NAMED}, g AS (SELECT id, {GRAMS.format('name')} AS g FROM n) SELECT a.id AS a, count(*) AS n, round(sum(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))), 4) AS similarity FROM g a JOIN g b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.9 GROUP BY 1")
+def similar_parts_indexed(spark, d):
+    """For each part how many later ones are named alike, from the index of parts_holding."""
+    pairs = _index(spark, d, "part").similar_pairs(0.9)
+    return pairs.groupBy("a").agg(F.count("*").alias("n"), F.round(F.sum("similarity"), 4).alias("similarity"))
