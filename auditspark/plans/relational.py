@@ -32,7 +32,10 @@ def category_counts_zero_filled(spark, d):
     return names.join(counts, F.col("name") == F.col("category"), "left").select(F.col("name").alias("category"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {v.EXTRACTS} SELECT category, count(*) AS total, count(f_amount) AS with_amount, count(*) FILTER (risk = 'R') AS risky, count(*) FILTER (f_amount IS NULL) AS without_amount, count(DISTINCT f_party) AS parties, round(avg(f_amount), 4) AS avg_amount, min(f_amount) AS min_amount, max(f_amount) AS max_amount, min(f_date) AS first_date, max(f_date) AS last_date FROM extracts GROUP BY 1")
+EXTRACT_STATS = f"WITH {v.EXTRACTS} SELECT category, count(*) AS total, count(f_amount) AS with_amount, count(*) FILTER (risk = 'R') AS risky, count(*) FILTER (f_amount IS NULL) AS without_amount, count(DISTINCT f_party) AS parties, round(avg(f_amount), 4) AS avg_amount, min(f_amount) AS min_amount, max(f_amount) AS max_amount, min(f_date) AS first_date, max(f_date) AS last_date FROM extracts GROUP BY 1"
+
+
+@query(EXTRACT_STATS)
 def category_extract_stats(spark, d):
     a = F.col("f_amount")
     return v.extracts(spark, d).groupBy("category").agg(
