@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.segment import query_words, segmented, segmenter
 from ..functions.text import keywords
 from ..functions.vector import literal
 from ..operators import search, trigram_index
@@ -148,3 +149,43 @@ def similar_parts_indexed(spark, d):
     """For each part how many later ones are named alike, from the index of parts_holding."""
     pairs = _index(spark, d, "part").similar_pairs(0.9)
     return pairs.groupBy("a").agg(F.count("*").alias("n"), F.round(F.sum("similarity"), 4).alias("similarity"))
+
+
+LATIN, DENSE = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丢两严丧中"
+
+
+def _dense(c):
+    """Words as ideographs, so that they are written without spaces."""
+    return F.translate(F.lower(c), LATIN, DENSE)
+
+
+def _dictionary(spark, d):
+    """Words of the names of parts, and two names as words, by how often they stand."""
+    p = v.table(spark, d, "part")
+    single = p.select(F.explode(F.split("p_name", " ")).alias("word"))
+    double = p.where(F.col("p_name").isin("red bolt", "blue gear")).select(F.replace("p_name", F.lit(" "), F.lit("")).alias("word"))
+    return single.union(double).select(_dense(F.col("word")).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT translate(lower(word), '{LATIN}', '{DENSE}') AS word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT replace(p_name, ' ', '') FROM part WHERE p_name IN ('red bolt', 'blue gear')) GROUP BY 1),
+t AS (SELECT ln(sum(n)) AS total FROM w), x AS (SELECT DISTINCT translate(lower(replace(p_name, ' ', '')), '{LATIN}', '{DENSE}') AS text FROM part),
+o AS (SELECT word, ln(n) AS s FROM w WHERE word <> '' UNION ALL SELECT DISTINCT c, 0 FROM (SELECT unnest(string_split(text, '')) AS c FROM x) WHERE c NOT IN (SELECT word FROM w)),
+step(text, done, score, words) AS (SELECT text, 0, 0.0::DOUBLE, []::VARCHAR[] FROM x
+  UNION ALL SELECT text, done + length(word), score + s - total, list_append(words, word) FROM step, o, t WHERE substring(text, done + 1, length(word)) = word)
+SELECT text, array_to_string(arg_max(words, score), '/') AS words FROM step WHERE done = length(text) GROUP BY text""")
+def segmented_names(spark, d):
+    """Names without spaces, cut into their most probable words."""
+    names = v.table(spark, d, "part").select(_dense(F.replace("p_name", F.lit(" "), F.lit(""))).alias("text")).distinct()
+    return names.select("text", F.array_join(segmented(F.col("text"), _dictionary(spark, d)), "/").alias("words"))
+
+
+FOUND = [w.translate(str.maketrans(LATIN, DENSE)) for w in ("redbolt", "widget")]
+
+
+@query("WITH p AS (SELECT p_partkey AS id, translate(lower(replace(p_name, ' ', '')), '" + LATIN + "', '" + DENSE + "') AS content FROM part) SELECT id, round((" + " + ".join(f"contains(content, '{w}')::INT" for w in FOUND) + ") / 2.0, 4) AS similarity FROM (SELECT * FROM p WHERE " + " OR ".join(f"content ILIKE '%{w}%'" for w in FOUND) + " ORDER BY id LIMIT 40) ORDER BY similarity DESC, id LIMIT 8")
+def keyword_search_segmented(spark, d):
+    """A query without spaces, cut by the dictionary, then looked for."""
+    dictionary = segmenter(_dictionary(spark, d))
+    words = query_words("redboltwidget".translate(str.maketrans(LATIN, DENSE)), dictionary)
+    rows = v.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("source_id"), _dense(F.replace("p_name", F.lit(" "), F.lit(""))).alias("content"))
+    return search.keyword_search(rows, words, 8).select("id", "similarity")
