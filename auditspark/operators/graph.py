@@ -66,20 +66,38 @@ def paths(visited: DataFrame, names: DataFrame, least_depth: int = 2, most: int
     return joined.select("path").distinct().orderBy("path").limit(most)
 
 
+def _walked_back(visited: DataFrame, meeting: DataFrame, deepest: int, side: str) -> DataFrame:
+    """One row: nodes from `meeting`(id) back to the start of visited, and the types of the edges between them."""
+    walk = meeting.select(F.col("id").alias("at"), F.array("id").alias(f"{side}_nodes"), F.array().cast("array<string>").alias(f"{side}_types"))
+    up = visited.select(F.col("id").alias("u"), F.col("parent").alias("next"), F.col("type").alias("by"))
+    for _ in range(deepest):
+        joined = walk.join(F.broadcast(walk.select(F.col("at").alias("w"))).join(up, F.col("w") == F.col("u")).drop("w"), F.col("at") == F.col("u"), "left")
+        there = F.col("next").isNotNull()
+        walk = joined.select(F.coalesce("next", "at").alias("at"), F.when(there, F.concat(f"{side}_nodes", F.array("next"))).otherwise(F.col(f"{side}_nodes")).alias(f"{side}_nodes"), F.when(there, F.concat(f"{side}_types", F.array("by"))).otherwise(F.col(f"{side}_types")).alias(f"{side}_types"))
+    return walk.drop("at")
+
+
 def find_path(edges: DataFrame, source: int, target: int, max_depth: int = 5, mode: str = "directed") -> DataFrame:
-    """One row with the length of the shortest path and where its halves meet, none if there is none within max_depth.
+    """One row with the length of the shortest path, where its halves meet, its nodes, and the types of the edges between them;
+    none if there is none within max_depth.
 
     "directed" goes out from the source and against the edges from the target; "compat" goes along the edges from both, so it
-    finds a common descendant.
+    finds a common descendant, and the types of the second half begin with <-, as the path goes against those edges. Of paths of
+    one length the one of the least meeting node is taken, and from there the least node on either side.
     """
     spark = edges.sparkSession
     one = lambda i: spark.range(i, i + 1)
     back = edges if mode == "compat" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
     half = (max_depth + 1) // 2
-    ahead = bfs(edges, one(source), half, directed=True).select("id", F.col("depth").alias("a"))
-    behind = bfs(back, one(target), max_depth - half, directed=True).select("id", F.col("depth").alias("b"))
-    met = ahead.join(behind, "id").select((F.col("a") + F.col("b")).alias("length"), F.col("id").alias("meeting"))
-    return met.orderBy("length", "meeting").limit(1)
+    ahead = bfs(edges, one(source), half, directed=True)
+    behind = bfs(back, one(target), max_depth - half, directed=True)
+    met = ahead.select("id", F.col("depth").alias("a")).join(behind.select("id", F.col("depth").alias("b")), "id")
+    best = cut(met.select((F.col("a") + F.col("b")).alias("length"), F.col("id").alias("meeting")).orderBy("length", "meeting").limit(1))
+    meeting = best.select(F.col("meeting").alias("id"))
+    walked = best.join(_walked_back(ahead, meeting, half, "a"), F.element_at("a_nodes", 1) == F.col("meeting")).join(_walked_back(behind, meeting, max_depth - half, "b"), F.element_at("b_nodes", 1) == F.col("meeting"))
+    second = F.transform("b_types", lambda t: F.concat(F.lit("<-"), t)) if mode == "compat" else F.col("b_types")
+    nodes = F.concat(F.reverse("a_nodes"), F.slice("b_nodes", F.lit(2), F.size("b_nodes")))
+    return walked.select("length", "meeting", nodes.alias("nodes"), F.concat(F.reverse("a_types"), second).alias("types"))
 
 
 def expand(edges: DataFrame, entities: DataFrame, node: int) -> DataFrame:
@@ -104,22 +122,29 @@ def link_entities(entities: DataFrame, query: str, words: list[str], most: int =
 def match_names(names: DataFrame, known: DataFrame, most_edits: int = 2, least_length: int = 3) -> DataFrame:
     """name, match, kind of names(name) among known(id, name): exact, else the nearest within most_edits, the least id first.
 
-    Candidates meet on equal deletions: names within d edits share a string that both become by deleting at most d characters.
+    A known name is cut into most_edits + 1 pieces. Within so many edits of it one of the pieces is left as it is, moved by no more
+    places than that; so names meet on (length of the known name, piece, its text), and a name looks for few of them.
     """
-
-    def deletions(name):
-        less = lambda s: F.array_union(F.array(s), F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.left(s, i - 1), F.substr(s, i + 1))))
-        out = F.array(name)
-        for _ in range(most_edits):
-            out = F.array_distinct(F.flatten(F.transform(out, less)))
-        return F.when(F.length(name) >= least_length, out).otherwise(F.array(name))
-
-    left = names.select("name").distinct().withColumn("key", F.explode(deletions(F.col("name"))))
-    right = known.select(F.col("id").alias("match"), F.col("name").alias("known_name")).withColumn("key", F.explode(deletions(F.col("known_name"))))
-    near = left.join(right, "key").select("name", "match", "known_name").distinct().withColumn("edits", F.levenshtein("name", "known_name"))
-    both_long = (F.length("name") >= least_length) & (F.length("known_name") >= least_length)
-    near = near.where((F.col("edits") == 0) | ((F.col("edits") <= most_edits) & both_long))
-    best = near.groupBy("name").agg(F.min(F.struct("edits", "match")).alias("best"))
+    pieces = most_edits + 1
+    number = F.sequence(F.lit(0), F.lit(pieces - 1))
+    cut_at = lambda length, i: F.floor(length * i / pieces).cast("int")
+
+    def piece(text, length, i, moved=0):
+        begin, end = cut_at(length, i), cut_at(length, i + 1)
+        return F.struct(length.alias("n"), i.alias("i"), F.substr(text, begin + 1 + moved, end - begin).alias("piece"))
+
+    some = names.select("name").distinct()
+    right = known.select(F.col("id").alias("match"), F.col("name").alias("known_name"))
+    exact = some.join(right, F.col("name") == F.col("known_name")).select("name", "match", "known_name")
+    size = F.length("known_name")
+    held = right.where(size >= least_length).withColumn("key", F.explode(F.transform(number, lambda i: piece(F.col("known_name"), size, i))))
+    # A name of n letters asks for known names of n - most_edits to n + most_edits letters, and for pieces moved as far.
+    lengths = F.sequence(F.greatest(F.lit(least_length), F.length("name") - most_edits), F.length("name") + most_edits)
+    shifts = F.array(*[F.lit(k) for k in range(-most_edits, most_edits + 1)])
+    asked = F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(number, lambda i: F.transform(F.filter(shifts, lambda k: (cut_at(n, i) + k >= 0) & (cut_at(n, i + 1) + k <= F.length("name"))), lambda k: piece(F.col("name"), n, i, k))))))
+    left = some.where(F.length("name") >= least_length).withColumn("key", F.explode(F.array_distinct(asked)))
+    near = left.join(held, "key").select("name", "match", "known_name").where(F.levenshtein("name", "known_name", most_edits) >= 0).union(exact).distinct()
+    best = near.withColumn("edits", F.levenshtein("name", "known_name")).groupBy("name").agg(F.min(F.struct("edits", "match")).alias("best"))
     return best.select("name", F.col("best.match").alias("match"), F.col("best.edits").alias("edits"), F.when(F.col("best.edits") == 0, "exact").otherwise("fuzzy").alias("kind"))
 
 

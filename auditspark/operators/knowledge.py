@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,18 +40,18 @@ def entity_detail(entities: DataFrame, edges: DataFrame, entity: int) -> DataFra
     return entities.where(F.col("id") == entity).select("id", "name", "entity_type").join(F.broadcast(counts), F.lit(True))
 
 
-def normalize_formulas(raw: DataFrame) -> DataFrame:
+def normalize_formulas(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
     """name, expression, inputs, output, conditions, example: both of the first are needed, the others have blank defaults."""
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    kept = raw.select(F.trim("name").alias("name"), F.trim("expression").alias("expression"), F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"), blank("output"), blank("conditions"), blank("example"))
+    kept = raw.select(F.trim("name").alias("name"), F.trim("expression").alias("expression"), F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"), blank("output"), blank("conditions"), blank("example"), *keep)
     return kept.where((F.col("name") != "") & (F.col("expression") != ""))
 
 
-def normalize_pairs(raw: DataFrame) -> DataFrame:
+def normalize_pairs(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
     """concept_a, concept_b, distinction, typical_question of two different named concepts."""
     a, b = F.trim("concept_a"), F.trim("concept_b")
     said = F.coalesce("distinction", F.concat(a, F.lit("与"), b, F.lit("的区别需要结合具体场景分析")))
-    kept = raw.select(a.alias("concept_a"), b.alias("concept_b"), said.alias("distinction"), F.coalesce("typical_question", F.lit("")).alias("typical_question"))
+    kept = raw.select(a.alias("concept_a"), b.alias("concept_b"), said.alias("distinction"), F.coalesce("typical_question", F.lit("")).alias("typical_question"), *keep)
     return kept.where((F.col("concept_a") != "") & (F.col("concept_b") != "") & (F.col("concept_a") != F.col("concept_b")))
 
 
@@ -107,35 +108,78 @@ def upsert_entities(known: DataFrame, found: DataFrame) -> DataFrame:
     return merged.unionByName(new.select(F.shiftrightunsigned(F.xxhash64("name", "entity_type"), 1).alias("id"), "name", "entity_type", "aliases", "chunk_ids"))
 
 
-def resolve_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """src, dst and the other columns of relations(source, target, ...): names or aliases to ids, the least of several; rows of
-    which an end is unknown go."""
+def resolve_names(rows: DataFrame, entities: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with ids in place of names or aliases, the least of several, under the new names; rows with an unknown one go."""
     named = entities.select("id", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).groupBy("n").agg(F.min("id").alias("id"))
-    src, dst = named.toDF("s_name", "src"), named.toDF("t_name", "dst")
-    joined = relations.join(src, F.col("source") == F.col("s_name")).join(dst, F.col("target") == F.col("t_name"))
-    return joined.select("src", "dst", *[c for c in relations.columns if c not in ("source", "target")])
+    for name, to in columns.items():
+        rows = rows.join(named.select(F.col("n").alias(f"{to}_name"), F.col("id").alias(to)), F.col(name) == F.col(f"{to}_name")).drop(f"{to}_name")
+    return rows.select(*columns.values(), *[c for c in rows.columns if c not in columns and c not in columns.values()])
+
+
+def resolve_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """src, dst and the other columns of relations(source, target, ...): names or aliases to ids; rows of which an end is unknown go."""
+    return resolve_names(relations, entities, {"source": "src", "target": "dst"})
 
 
 def merge_relations(known: DataFrame, new: DataFrame) -> DataFrame:
-    """One row for each (src, dst, type): the greatest confidence and the distinct chunk ids, sorted; loops go."""
-    both = known.unionByName(new).where(F.col("src") != F.col("dst"))
-    return both.groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"))
+    """One row for each (src, dst, type): the greatest confidence and the distinct chunk ids, sorted; loops go.
+
+    Where both have a description, that of new is taken, of its greatest chunk id, else the known one; a formula stays as it was
+    first stated. Chunk ids are made distinct before they come together.
+    """
+    there = [c for c in ("description", "formula") if c in known.columns and c in new.columns]
+    columns = ["src", "dst", "type", "confidence", "chunk_ids", *there]
+    side = lambda frame, n: frame.select(*columns, F.lit(n).alias("side"), F.coalesce(F.array_max("chunk_ids"), F.lit(-1)).alias("last"))
+    both = side(known, 0).unionByName(side(new, 1)).where(F.col("src") != F.col("dst"))
+    told = {"description": lambda c: F.max_by(c, F.struct("side", "last", c)), "formula": lambda c: F.min_by(c, F.when(c.isNotNull(), F.struct("side", "last", c)))}
+    said = both.groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"), *[told[c](F.col(c)).alias(c) for c in there])
+    chunks = both.select("src", "dst", "type", F.explode("chunk_ids").alias("c")).distinct().groupBy("src", "dst", "type").agg(F.array_sort(F.collect_list("c")).alias("ids"))
+    keys = ["src", "dst", "type"]
+    return said.join(chunks, keys, "left").select(*keys, "confidence", F.coalesce("ids", F.array().cast("array<long>")).alias("chunk_ids"), *there)
+
+
+def link_formulas(formulas: DataFrame, entities: DataFrame) -> DataFrame:
+    """formulas(name, ..., chunk_id) with entity_id, the entity of that name or alias; those of no entity go."""
+    return resolve_names(formulas, entities, {"name": "entity_id"})
+
+
+def link_pairs(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """a, b and what is said of pairs(concept_a, concept_b, ...) whose concepts are both known and not the same; each pair once, under
+    a < b, as the greatest chunk id says it."""
+    linked = resolve_names(pairs, entities, {"concept_a": "x", "concept_b": "y"}).where("x != y")
+    rest = [c for c in pairs.columns if c not in ("concept_a", "concept_b", "chunk_id")]
+    last = linked.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.struct("chunk_id", *rest)).alias("s"))
+    return last.select("a", "b", *[F.col(f"s.{c}") for c in rest])
 
 
-def build_graph(chunks: DataFrame, extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]], known: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The graph after chunks(id, content) went through extract, as (entities, relations, stats).
+def build_graph(chunks: DataFrame, extract: Callable[[DataFrame], tuple[DataFrame, ...]], known: DataFrame, relations: DataFrame, formulas: DataFrame | None = None, pairs: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """The graph after chunks(id, content) went through extract, as (entities, relations, stats), and after these (formulas, pairs) if
+    extract finds some.
 
     extract: from the chunks worth it to (name, entity_type, importance, chunk_id) and (source, target, type, confidence,
-    chunk_id). stats: what, n.
+    chunk_id), and where it has them formulas(name, expression, inputs, output, conditions, example, chunk_id) and pairs(concept_a,
+    concept_b, distinction, typical_question, chunk_id). What is known already, of each kind, is merged with what is found. stats:
+    what, n.
     """
-    raw_entities, raw_relations = extract(extractable(chunks))
+    found_in = extract(extractable(chunks))
+    raw_entities, raw_relations = found_in[:2]
     found = graph.normalize_entities(raw_entities, keep=["chunk_id"])
     entities = graph.cut(upsert_entities(known, found))
-    stated = graph.normalize_relations(raw_relations, keep=["chunk_id"]).withColumn("chunk_ids", F.array("chunk_id")).drop("chunk_id")
+    more = [c for c in ("description", "formula") if c in raw_relations.columns]
+    stated = graph.normalize_relations(raw_relations, keep=["chunk_id", *more]).withColumn("chunk_ids", F.array("chunk_id")).drop("chunk_id")
     merged = graph.cut(merge_relations(relations, resolve_relations(stated, entities)))
     counts = [("entities", entities), ("relations", merged), ("chunks", extractable(chunks))]
-    stats = [frame.agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name, frame in counts]
-    return entities, merged, stats[0].union(stats[1]).union(stats[2])
+    out = []
+    if len(found_in) > 2:
+        told = graph.cut(link_formulas(normalize_formulas(found_in[2], keep=["chunk_id"]), entities))
+        out.append(told if formulas is None else formulas.unionByName(told).distinct())
+        said = link_pairs(normalize_pairs(found_in[3], keep=["chunk_id"]), entities)
+        if pairs is not None:  # what is said anew counts
+            said = said.unionByName(pairs.join(said.select("a", "b"), ["a", "b"], "left_anti"))
+        out.append(graph.cut(said))
+        counts += [("formulas", out[0]), ("pairs", out[1])]
+    stats = reduce(DataFrame.union, [frame.agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name, frame in counts])
+    return entities, merged, stats, *out
 
 
 def knowledge_search(chunks: DataFrame, entities: DataFrame, edges: DataFrame, pairs: DataFrame, query: str, words: list[str], k: int = 10, hops: int = 3, seeds: int = 5, reach: int = 50) -> DataFrame:

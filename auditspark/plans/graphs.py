@@ -61,7 +61,34 @@ def path_strings(spark, d):
 def shortest_path(spark, d):
     """From a customer to the region of its nation."""
     region = v.table(spark, d, "customer").where("c_custkey = 5").join(v.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey").first().n_regionkey
-    return graph.find_path(v.edges(spark, d), 4000005, 1000000 + region, 2)
+    return graph.find_path(v.edges(spark, d), 4000005, 1000000 + region, 2).select("length", "meeting")
+
+
+BRANDS = "e AS (SELECT DISTINCT l_suppkey + 3000000 AS src, l_partkey + 5000000 AS dst, 'supplies' AS type FROM lineitem UNION ALL SELECT p_partkey + 5000000, 6000000 + substring(p_brand, 7)::BIGINT, 'made_by' FROM part)"
+
+
+def _brands(spark, d):
+    """From suppliers to parts, and from these to their brands."""
+    supplied = v.table(spark, d, "lineitem").select((F.col("l_suppkey") + 3000000).alias("src"), (F.col("l_partkey") + 5000000).alias("dst"), F.lit("supplies").alias("type")).distinct()
+    made = v.table(spark, d, "part").select((F.col("p_partkey") + 5000000).alias("src"), (F.substring("p_brand", 7, 9).cast("long") + 6000000).alias("dst"), F.lit("made_by").alias("type"))
+    return supplied.union(made)
+
+
+def _shown(path):
+    return path.select("length", "meeting", F.array_join(F.transform("nodes", lambda n: n.cast("string")), " ").alias("nodes"), F.array_join("types", " ").alias("types"))
+
+
+@query(f"WITH {BRANDS}, a AS (SELECT min(a.dst) AS m, any_value(b.dst) AS t FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 3000003 AND b.dst = (SELECT max(dst) FROM e WHERE type = 'made_by')) SELECT 2 AS length, m AS meeting, '3000003 ' || m || ' ' || t AS nodes, 'supplies made_by' AS types FROM a")
+def path_with_nodes(spark, d):
+    """From a supplier to a brand, through the least of many parts."""
+    e = _brands(spark, d)
+    return _shown(graph.find_path(e, 3000003, e.where("type = 'made_by'").agg(F.max("dst")).first()[0], 2))
+
+
+@query(f"WITH {BRANDS}, a AS (SELECT min(a.dst) AS m FROM e a JOIN e b ON a.dst = b.dst WHERE a.src = 3000003 AND b.src = 3000004 AND a.type = 'supplies') SELECT CASE WHEN m IS NULL THEN 4 ELSE 2 END AS length, m AS meeting, '3000003 ' || m || ' 3000004' AS nodes, 'supplies <-supplies' AS types FROM a")
+def common_descendant_path(spark, d):
+    """The least part that two suppliers share."""
+    return _shown(graph.find_path(_brands(spark, d), 3000003, 3000004, 2, mode="compat"))
 
 
 @query(f"WITH {v.GRAPH} SELECT x.id, x.name, e.type, e.direction FROM (SELECT dst AS id, type, 'out' AS direction FROM edges WHERE src = 2000004 UNION ALL SELECT src, type, 'in' FROM edges WHERE dst = 2000004) e JOIN entities x ON e.id = x.id")

@@ -251,3 +251,38 @@ def sources_concatenated(spark, d):
     keys = search.keyword_search(chunks, WORDS, 5).select("id", F.lit("key").alias("kind"), "similarity")
     past = v.table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct().orderBy("id").limit(5).withColumn("kind", F.lit("history"))
     return near_.unionByName(keys).unionByName(past, allowMissingColumns=True)
+
+
+@query("""WITH c AS (SELECT doc_id AS id, lang, repeat(source, 4) AS source FROM documents WHERE length(trim(text, ' ')) >= 50),
+k AS (SELECT 'en' AS lang, repeat('src1', 4) AS source, 0.9::DOUBLE AS confidence, 'known' AS description, 'f = 0' AS formula),
+r AS (SELECT lang, source, count(*) AS n, max(id) AS last, min(id) FILTER (id % 3 = 0) AS f FROM c WHERE lang IS NOT NULL AND source IS NOT NULL AND lang <> source GROUP BY 1, 2)
+SELECT 'relation' AS what, coalesce(r.lang, k.lang) || '>' || coalesce(r.source, k.source) AS key,
+  concat_ws('|', greatest(coalesce(k.confidence, 0.5), 0.5), coalesce(n, 0) + CASE WHEN k.lang IS NULL THEN 0 ELSE 1 END, CASE WHEN r.lang IS NULL THEN k.description ELSE 'of ' || last END, coalesce(k.formula, 'f = ' || f)) AS value
+FROM r FULL JOIN k ON r.lang = k.lang AND r.source = k.source
+UNION ALL SELECT 'pair', lang || '/' || source, 'by ' || last FROM r
+UNION ALL SELECT 'formulas', lang, count(*)::VARCHAR FROM c WHERE lang IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'entities', 'all', (SELECT count(*) FROM (SELECT lang FROM c UNION SELECT source FROM c UNION SELECT 'en' UNION SELECT repeat('src1', 4)) WHERE lang IS NOT NULL)::VARCHAR""")
+def graph_build_incremental(spark, d):
+    """A build onto a graph that is there: merged relations with what is said of them, formulas, and pairs."""
+    t = v.table(spark, d, "documents").withColumn("source", F.repeat("source", F.lit(4)))  # so that no two are within two edits
+    told = t.select(F.col("doc_id").alias("t_id"), "lang", "source")
+
+    def extract(chunks):
+        rows = chunks.join(told, F.col("id") == F.col("t_id"))
+        named = rows.select(F.explode(F.array("lang", "source")).alias("name"), F.lit("").alias("entity_type"), F.lit(None).cast("string").alias("importance"), F.col("id").alias("chunk_id"))
+        stated = rows.select(F.col("lang").alias("source"), F.col("source").alias("target"), F.lit("references").alias("type"), F.lit(None).cast("double").alias("confidence"), F.col("id").alias("chunk_id"), F.concat(F.lit("of "), "id").alias("description"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("f = "), "id")).alias("formula"))
+        blank = [F.lit(None).cast("string").alias(c) for c in ("output", "conditions", "example")]
+        formulas = rows.select(F.col("lang").alias("name"), F.concat(F.lit("x = "), "id").alias("expression"), F.lit(None).cast("array<string>").alias("inputs"), *blank, F.col("id").alias("chunk_id"))
+        pairs = rows.select(F.col("lang").alias("concept_a"), F.col("source").alias("concept_b"), F.concat(F.lit("by "), "id").alias("distinction"), F.lit(None).cast("string").alias("typical_question"), F.col("id").alias("chunk_id"))
+        return named, stated, formulas, pairs
+
+    known = spark.createDataFrame([(1, "en", "concept", None, [-1]), (2, "src1" * 4, "concept", None, [-1])], "id long, name string, entity_type string, aliases array<string>, chunk_ids array<long>")
+    relations = spark.createDataFrame([(1, 2, "references", 0.9, [-1], "known", "f = 0")], "src long, dst long, type string, confidence double, chunk_ids array<long>, description string, formula string")
+    entities, merged, _, formulas, pairs = knowledge.build_graph(t.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), extract, known, relations)
+    n = lambda c: entities.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    shown = merged.join(n("src"), "src").join(n("dst"), "dst").select(F.lit("relation").alias("what"), F.concat_ws(">", "src_name", "dst_name").alias("key"), F.concat_ws("|", "confidence", F.size("chunk_ids"), "description", "formula").alias("value"))
+    docs = t.select("lang", "source").distinct()
+    named = pairs.join(n("a"), "a").join(n("b"), "b").join(docs, ((F.col("a_name") == F.col("lang")) & (F.col("b_name") == F.col("source"))) | ((F.col("b_name") == F.col("lang")) & (F.col("a_name") == F.col("source"))))
+    said = named.select(F.lit("pair").alias("what"), F.concat_ws("/", "lang", "source").alias("key"), F.col("distinction").alias("value"))
+    counted = formulas.join(n("entity_id"), "entity_id").groupBy("entity_id_name").agg(F.count("*").cast("string").alias("value")).select(F.lit("formulas").alias("what"), F.col("entity_id_name").alias("key"), "value")
+    return shown.union(said).union(counted).union(entities.agg(F.count("*").cast("string").alias("value")).select(F.lit("entities").alias("what"), F.lit("all").alias("key"), "value"))

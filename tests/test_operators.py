@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from auditspark.operators import chunking, consolidate, dml, graph, quality, search
+from auditspark.operators import chunking, consolidate, dml, graph, knowledge, quality, search
 from auditspark.sources import files, sinks
 from auditspark.streaming import status
 
@@ -84,7 +84,68 @@ def test_paths_in_both_modes(spark):
     assert graph.find_path(edges, 1, 5).first() is None and graph.find_path(edges, 1, 5, mode="compat").first().meeting == 3
 
 
-def test_names_match_by_deletions(spark):
+def test_paths_are_shortest_and_their_edges_are_there(spark):
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(55)})
+    edges = frame(spark, [(a, b, f"t{a}-{b}") for a, b in pairs], "src long, dst long, type string")
+    depth = lambda arcs, start: brute_directed(arcs, start)
+    back = [(b, a) for a, b in pairs]
+    for source, target in ((0, 7), (3, 3), (5, 21), (12, 29)):
+        out, into = depth(pairs, source), depth(back, target)
+        for mode, other in (("directed", into), ("compat", depth(pairs, target))):
+            got = graph.find_path(edges, source, target, 4, mode).first()
+            ahead, behind = {n: k for n, k in out.items() if k <= 2}, {n: k for n, k in other.items() if k <= 2}
+            met = [(ahead[n] + behind[n], n) for n in ahead if n in behind]
+            if not met:
+                assert got is None
+                continue
+            assert (got.length, got.meeting) == min(met) and got.nodes[0] == source and got.nodes[-1] == target and len(got.types) == got.length == len(got.nodes) - 1
+            at = got.nodes.index(got.meeting)
+            for k, (a, b) in enumerate(zip(got.nodes, got.nodes[1:])):
+                assert got.types[k] == (f"t{a}-{b}" if mode == "directed" or k < ahead[got.meeting] else f"<-t{b}-{a}") and at >= 0
+
+
+def brute_directed(pairs, start):
+    depth, front = {start: 0}, [start]
+    while front:
+        new = sorted({b for a, b in pairs if a in front and b not in depth})
+        depth |= {b: depth[front[0]] + 1 for b in new}
+        front = new
+    return depth
+
+
+def test_names_match_as_all_pairs_do(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+    known, names = [(i, word()) for i in range(80)] + [(80, None)], sorted({word() for _ in range(120)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for n in names:
+        near = [(e, i) for i, k in known if k is not None and ((e := edits(n, k)) == 0 or e <= 2 and min(len(n), len(k)) >= 3)]
+        if near:
+            e, i = min(near)
+            want[n] = (i, e, "fuzzy" if e else "exact")
+    got = graph.match_names(frame(spark, [(n,) for n in [*names, None]], "name string"), frame(spark, known, "id long, name string"))
+    assert {r.name: (r.match, r.edits, r.kind) for r in got.collect()} == want and len(want) > 60
+
+
+def test_relations_keep_what_was_said_last_and_the_formula_of_the_first(spark):
+    schema = "src long, dst long, type string, confidence double, chunk_ids array<long>, description string, formula string"
+    known = frame(spark, [(1, 2, "r", 0.9, [3], "old", "f"), (5, 6, "r", 0.1, [1], "only known", None)], schema)
+    new = frame(spark, [(1, 2, "r", 0.5, [9, 3], "newest", "g"), (1, 2, "r", 0.6, [4], "newer", None), (3, 4, "r", 0.2, [8], None, None), (3, 4, "r", 0.1, [2], "x", "h"), (7, 7, "r", 1.0, [1], "loop", None)], schema)
+    got = {(r.src, r.dst): tuple(r)[3:] for r in knowledge.merge_relations(known, new).collect()}
+    assert got == {(1, 2): (0.9, [3, 4, 9], "newest", "f"), (5, 6): (0.1, [1], "only known", None), (3, 4): (0.2, [2, 8], None, "h")}
+
+
+def test_names_match_by_pieces(spark):
     known = frame(spark, [(1, "audit"), (2, "audits"), (3, "ab"), (4, "ledger")], "id long, name string")
     names = frame(spark, [("audit",), ("audut",), ("ac",), ("leger",), ("lexxer",), ("zzzz",)], "name string")
     got = {r.name: (r.match, r.edits, r.kind) for r in graph.match_names(names, known).collect()}
