@@ -22,6 +22,8 @@ Columns of the same names as the output's are replaced, all others kept.
 
 from __future__ import annotations
 
+import secrets
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +47,19 @@ PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d(?:[ .\-]?\d){3,12}
 ANY = "|".join([EMAIL, CREDENTIAL, IBAN, IPV4, DATE.replace("\\1", "[/.]").replace("([/.])", "[/.]"), SSN, PHONE, CARD])
 
 
+_MADE_KEYS: dict[str, str] = {}
+
+
 def configured_key(spark: SparkSession) -> str:
-    """The key that the session is configured with; whoever has it can undo the pseudonyms. A public one where none is set, as in
-    tests."""
-    return spark.conf.get(KEY_SETTING, "no-key-is-configured")
+    """The key that the session is configured with; whoever has it can undo the pseudonyms.
+
+    Where none is set, one is made at random, for this application alone, and a warning says so: its pseudonyms link equal values
+    within the application, not those of two.
+    """
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key
+    warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a random key, for this application alone", stacklevel=2)
+    return _MADE_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
 
 
 def _ints(*values: int) -> Column:
