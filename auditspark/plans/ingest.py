@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import providers, vector
 from ..functions import text as T
 from ..functions.catalogue import TYPES_OF, type_catalogue
-from ..operators import chunking, dml, quality, vouchers
+from ..operators import chunking, dml, quality, variants, vouchers
 from ..operators.graph import shared_folder
-from ..sources import files, sinks
+from ..sources import files, logs, sinks
 from . import views as v
 from .registry import query
 
@@ -205,6 +205,22 @@ def stage_log(spark, d):
 # The voucher pipeline
 
 
+TYPES = tuple((t, c) for c in TYPES_OF for t in TYPES_OF[c][:2]) + (("no such type", "其他"),)
+TYPED = "CASE p_size % " + str(len(TYPES)) + " " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(TYPES)) + " END"
+CATEGORY = "CASE p_size % " + str(len(TYPES)) + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(TYPES)) + " END"
+
+
+@query(f"""WITH f AS (SELECT '/img/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.JPEG' WHEN 1 THEN '.png' ELSE '.jpg' END AS path, {TYPED} AS type, {CATEGORY} AS category FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY path) AS n FROM f)
+SELECT split_part(path, '/', -1) AS file_name, type AS doc_type, category, CASE WHEN lower(split_part(path, '.', -1)) = 'jpeg' THEN 'jpg' ELSE lower(split_part(path, '.', -1)) END AS file_format, 'pending' AS classify_status FROM r WHERE n <= 7""")
+def batch_import_by_type(spark, d):
+    """Types of every category of the catalogue, and one of none, with their categories."""
+    k, t = F.col("p_partkey") % 3, F.col("p_size") % len(TYPES)
+    kind = F.element_at(F.array(*[F.lit(n) for n, _ in TYPES]), (t + 1).cast("int"))
+    path = F.concat(F.lit("/img/"), "p_partkey", F.when(k == 0, ".JPEG").when(k == 1, ".png").otherwise(".jpg"))
+    rows = v.table(spark, d, "part").select(path.alias("path"), F.lit(1).cast("long").alias("size"), F.md5("p_name").alias("md5"), kind.alias("type"))
+    return vouchers.import_rows(rows, "b1", 7).select("file_name", "doc_type", "category", "file_format", "classify_status")
+
+
 @query(f"WITH {FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY path) AS n FROM f) SELECT split_part(path, '/', -1) AS file_name, type AS doc_type, '其他' AS category, CASE WHEN lower(split_part(path, '.', -1)) = 'jpeg' THEN 'jpg' ELSE lower(split_part(path, '.', -1)) END AS file_format, 'pending' AS classify_status FROM r WHERE n <= 7")
 def batch_import(spark, d):
     return vouchers.import_rows(_files(spark, d), "b1", 7).select("file_name", "doc_type", "category", "file_format", "classify_status")
@@ -270,7 +286,7 @@ def provider_retries(spark, d):
 
 @query("SELECT doc_id, 64 AS width, 1.0::DOUBLE AS norm FROM documents WHERE length(text) > 0")
 def stub_embeddings(spark, d):
-    rows = providers.embedded(v.table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.left("text", F.lit(200)).alias("text")), "text", providers.hashed_embedding())
+    rows = providers.embedded(v.table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", "text"), "text", providers.hashed_embedding())
     return rows.select("doc_id", F.size("embedding").alias("width"), F.round(F.sqrt(vector.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
@@ -421,3 +437,35 @@ def rule_sections(spark, d):
     text = F.concat(F.lit("一、"), "n_name", F.lit("\n"), F.when(F.col("n_nationkey") % 2 == 0, "风险等级：高风险\n").otherwise(""), F.repeat(F.lit("must be checked "), 4), F.lit("\n二、next\n"), F.repeat(F.lit("and so on with it "), 4))
     docs = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), text.alias("text"))
     return chunking.rule_chunks(docs).select("id", "rule_id", "heading", "risk")
+
+
+@query("""SELECT 'b1' AS batch, stage, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' WHEN count(*) FILTER (status = 'done') = count(*) THEN 'done' ELSE 'pending' END AS state, true AS timed
+FROM (SELECT CASE WHEN event_type IN ('signup', 'error') THEN 'classify' WHEN event_type = 'purchase' THEN 'extract' ELSE 'audit' END AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'done' END AS status FROM events) GROUP BY stage""")
+def stage_runs(spark, d):
+    """What is logged as the statuses of each stage are written: counts, taken as the rows pass, and durations."""
+    at, e = _folder(spark), F.col("event_type")
+    stage = F.when(e.isin("signup", "error"), "classify").when(e == "purchase", "extract").otherwise("audit")
+    status = F.when(e == "error", "failed").when(e == "view", "pending").otherwise("done")
+    rows = v.table(spark, d, "events").select("event_id", stage.alias("stage"), status.alias("status"))
+    for name in ("classify", "extract", "audit"):
+        logs.logged(rows.where(F.col("stage") == name), lambda r, name=name: r.write.parquet(f"{at}/out/{name}"), f"{at}/log", "b1", name)
+    return logs.read_log(spark, f"{at}/log").select("batch", "stage", "total", "done", "failed", "state", (F.col("duration_ms") >= 0).alias("timed"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN json_extract_string(props, '$.k')::BIGINT END AS k, event_id % 5 > 0 OR props IS NULL AS parsed, CASE WHEN event_id % 5 = 0 THEN '{' || props END AS kept FROM events""")
+def json_as_variants(spark, d):
+    """JSON parsed once, stored as variants, and read by path; what does not parse is kept."""
+    at = _folder(spark)
+    text = F.when(F.col("event_id") % 5 > 0, F.col("props")).otherwise(F.concat(F.lit("{"), "props"))
+    variants.parsed(v.table(spark, d, "events").select("event_id", text.alias("props")), "props", "x").write.parquet(at)
+    return spark.read.parquet(at).select("event_id", *variants.fields("x", {"k": ("$.k", "long")}), F.col("x_ok").alias("parsed"), F.col("x_text").alias("kept"))
+
+
+@query("SELECT p_partkey, p_name AS book, p_size AS page, CASE WHEN p_size % 2 = 0 THEN p_brand END AS first, p_retailprice::DOUBLE AS price FROM part")
+def metadata_as_variants(spark, d):
+    """Numbers, texts and members of arrays of stored metadata, each by path and type, from one parse."""
+    at = _folder(spark)
+    told = F.to_json(F.struct(F.struct(F.col("p_name").alias("book"), F.col("p_size").alias("page")).alias("at"), F.when(F.col("p_size") % 2 == 0, F.array("p_brand", "p_type")).alias("list"), F.col("p_retailprice").alias("price")))
+    variants.parsed(v.table(spark, d, "part").select("p_partkey", told.alias("meta")), "meta").write.parquet(at)
+    wanted = {"book": ("$.at.book", "string"), "page": ("$.at.page", "int"), "first": ("$.list[0]", "string"), "price": ("$.price", "double")}
+    return spark.read.parquet(at).select("p_partkey", *variants.fields("value", wanted))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import knowledge_text
 from ..operators import knowledge, search
 from . import views as v
 from .registry import query
@@ -175,18 +176,20 @@ seeds AS (SELECT id FROM linked ORDER BY score DESC, id LIMIT 5),
 steps AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 walk(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT s.dst, w.depth + 1 FROM walk w JOIN steps s ON w.id = s.src WHERE w.depth < 2),
 visited AS (SELECT id, min(depth) AS depth FROM walk GROUP BY 1 ORDER BY depth, id LIMIT 50),
+up AS (SELECT w.id, min(s.src) AS parent FROM visited w JOIN steps s ON s.dst = w.id JOIN visited p ON p.id = s.src AND p.depth = w.depth - 1 GROUP BY 1),
+paths AS (SELECT DISTINCT concat_ws(' → ', a.name, b.name, c.name) AS path FROM visited w JOIN up u ON w.id = u.id JOIN up t ON u.parent = t.id JOIN entities a ON a.id = t.parent JOIN entities b ON b.id = u.parent JOIN entities c ON c.id = w.id WHERE w.depth = 2 ORDER BY path LIMIT 10),
 hits AS (SELECT id, left(content, 500) AS text FROM chunks WHERE id IN (SELECT unnest([id % 500, (id + 7) % 500]) FROM visited) ORDER BY id LIMIT 10)
 SELECT part, place::INT AS place, id, text FROM (
   SELECT 'entity' AS part, row_number() OVER (ORDER BY score DESC, id) AS place, id, name AS text FROM linked
+  UNION ALL SELECT 'path', row_number() OVER (ORDER BY path), NULL, path FROM paths
   UNION ALL SELECT 'pair', row_number() OVER (ORDER BY a, b), a, x.name || ' / ' || y.name FROM (SELECT n_nationkey::BIGINT + 2000000 AS a, (n_nationkey::BIGINT + 7) % 25 + 2000000 AS b FROM nation) p JOIN entities x ON a = x.id JOIN entities y ON b = y.id WHERE a IN (SELECT id FROM seeds) OR b IN (SELECT id FROM seeds)
   UNION ALL SELECT 'chunk', row_number() OVER (ORDER BY id), id, text FROM hits
   UNION ALL SELECT 'fallback', 1, NULL, 'NATION_12' WHERE NOT EXISTS (SELECT 1 FROM hits))""")
 def knowledge_graph_search(spark, d):
-    """Linked entities, pairs and chunks of a question; the paths are those of path_strings and left out here."""
+    """Linked entities, paths, pairs and chunks of a question."""
     n = F.col("n_nationkey").cast("long")
     pairs = v.table(spark, d, "nation").select((n + 2000000).alias("a"), ((n + 7) % 25 + 2000000).alias("b"))
-    found = knowledge.knowledge_search(v.chunks(spark, d), _leveled(spark, d), v.edges(spark, d), pairs, "NATION_12", ["NATION_12"], hops=2)
-    return found.where("part != 'path'")
+    return knowledge.knowledge_search(v.chunks(spark, d), _leveled(spark, d), v.edges(spark, d), pairs, "NATION_12", ["NATION_12"], hops=2)
 
 
 @query("""SELECT c_custkey, CASE WHEN said = '' THEN kind || ' 审计风险 辅导' ELSE said END AS query FROM (SELECT c_custkey, kind, concat_ws('；', CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END, nullif('', ''), CASE WHEN kind != '未知' THEN kind || ' 审计' END) AS said
@@ -204,17 +207,21 @@ def tutoring_search(spark, d):
 
 @query(f"""WITH {v.CHUNKS}, {v.QA}, b AS (SELECT id, left(content, 500) AS c, similarity FROM ({near(10)})),
 h AS (SELECT conv_id * 8 + turn AS id, left('问题：' || question || chr(10) || '答案：' || left(answer, 500), 500) AS c, round(1 - list_distance(embedding::DOUBLE[], {Q}), 6) AS similarity FROM qa JOIN embeddings ON vec_id = conv_id * 8 + turn ORDER BY similarity DESC, id LIMIT 5),
+k AS (SELECT id, left('知识点：' || label || chr(10) || '摘要：' || left(content, 20) || chr(10) || '内容：' || content, 500) AS c, similarity FROM (SELECT *, round(1 - list_distance(embedding, {Q}), 6) AS similarity FROM chunks WHERE embedding IS NOT NULL ORDER BY similarity DESC, id LIMIT 3)),
 told AS (SELECT '教材知识库检索结果：' AS title, 0 AS part, string_agg(n || '. ' || c || '...', chr(10) || chr(10) ORDER BY n) AS body FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS n FROM b)
-  UNION ALL SELECT '历史相关问答：', 1, string_agg(n || '. ' || c || '...', chr(10) || chr(10) ORDER BY n) FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS n FROM h))
+  UNION ALL SELECT '历史相关问答：', 1, string_agg(n || '. ' || c || '...', chr(10) || chr(10) ORDER BY n) FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS n FROM h)
+  UNION ALL SELECT '归档知识库检索结果：', 2, string_agg(n || '. ' || c || '...', chr(10) || chr(10) ORDER BY n) FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS n FROM k))
 SELECT string_agg(title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY part) AS context FROM told WHERE body IS NOT NULL""")
 def three_part_context(spark, d):
-    """Books and history answer, nothing is archived: two of the three parts are told."""
+    """Books, history and archived knowledge, each under its title."""
     books = search.vector_search(v.chunks(spark, d), VECTOR, 10)
     e = v.table(spark, d, "embeddings").select("vec_id", "embedding")
     qa = v.qa_history(spark, d).join(e, F.col("vec_id") == F.col("conv_id") * 8 + F.col("turn"))
     told = F.concat(F.lit("问题："), "question", F.lit("\n答案："), F.left("answer", F.lit(500)))
     history = search.archived_search(qa.select(F.col("vec_id").alias("id"), told.alias("content"), "embedding"), VECTOR, 5, -9.0)
-    return knowledge.three_part_context(books.select("id", "content", "similarity"), history.select("id", "content", "similarity"), books.select("id", "content", "similarity").limit(0))
+    kept = v.chunks(spark, d).where("embedding IS NOT NULL").select("id", knowledge_text(F.col("label").cast("string"), F.left("content", F.lit(20)), F.col("content")).alias("content"), "embedding")
+    archive = search.archived_search(kept, VECTOR, 3, -9.0)
+    return knowledge.three_part_context(books.select("id", "content", "similarity"), history.select("id", "content", "similarity"), archive.select("id", "content", "similarity"))
 
 
 MODES = ("vector", "bm25", "hybrid", "graph", "other")
