@@ -93,15 +93,28 @@ def catalog_columns(spark, d):
     return found
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {len(t)})" for c, t in TYPES_OF.items()) + ") AS t(category, n)")
+TYPES = tuple((t, c) for c in TYPES_OF for t in TYPES_OF[c][:2]) + (("no such type", "其他"),)
+TYPED = "CASE p_size % " + str(len(TYPES)) + " " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(TYPES)) + " END"
+CATEGORY = "CASE p_size % " + str(len(TYPES)) + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(TYPES)) + " END"
+
+
+def _typed():
+    return F.element_at(F.array(*[F.lit(n) for n, _ in TYPES]), (F.col("p_size") % len(TYPES) + 1).cast("int"))
+
+
+@query("WITH k AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {len(t)})" for c, t in TYPES_OF.items()) + f") AS t(category, n)), r AS (SELECT {CATEGORY} AS category, count(*) AS rows FROM part GROUP BY 1) SELECT category, n, coalesce(rows, 0) AS rows FROM k LEFT JOIN r USING (category)")
 def type_counts(spark, d):
-    return type_catalogue(spark).groupBy("category").agg(F.count("*").cast("int").alias("n"))
+    """The catalogue's categories, their types, and how many parts are of one of them."""
+    kinds = type_catalogue(spark)
+    held = v.table(spark, d, "part").select(_typed().alias("type")).groupBy("type").agg(F.count("*").alias("rows"))
+    joined = kinds.select("category", F.col("type").alias("t")).join(held, F.col("t") == F.col("type"), "left")
+    return joined.groupBy("category").agg(F.count("*").cast("int").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
 
 
-@query("SELECT 5000 AS n, 5000 AS ids, true AS follows, true AS in_range")
+@query("SELECT count(*)::INT AS n, count(*)::INT AS ids, true AS follows, true AS in_range FROM orders")
 def synthetic_vouchers(spark, d):
-    """Made-up vouchers: every conclusion follows its risk, and the mix of risks is near 70, 20 and 10 in a hundred."""
-    rows = files.synthetic_vouchers(spark, 5000)
+    """A made-up voucher for each order: every conclusion follows its risk, and the mix of risks is near 70, 20 and 10 in a hundred."""
+    rows = files.synthetic_vouchers(spark, v.table(spark, d, "orders").count())
     follows = F.bool_and((F.col("risk_rating") == "低风险") == (F.col("audit_conclusion") == "通过"))
     share = F.count_if(F.col("risk_rating") == "低风险") / F.count("*")
     return rows.agg(F.count("*").cast("int").alias("n"), F.count_distinct("id").cast("int").alias("ids"), follows.alias("follows"), share.between(0.66, 0.74).alias("in_range"))
@@ -205,19 +218,13 @@ def stage_log(spark, d):
 # The voucher pipeline
 
 
-TYPES = tuple((t, c) for c in TYPES_OF for t in TYPES_OF[c][:2]) + (("no such type", "其他"),)
-TYPED = "CASE p_size % " + str(len(TYPES)) + " " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(TYPES)) + " END"
-CATEGORY = "CASE p_size % " + str(len(TYPES)) + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(TYPES)) + " END"
-
-
 @query(f"""WITH f AS (SELECT '/img/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.JPEG' WHEN 1 THEN '.png' ELSE '.jpg' END AS path, {TYPED} AS type, {CATEGORY} AS category FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY path) AS n FROM f)
 SELECT split_part(path, '/', -1) AS file_name, type AS doc_type, category, CASE WHEN lower(split_part(path, '.', -1)) = 'jpeg' THEN 'jpg' ELSE lower(split_part(path, '.', -1)) END AS file_format, 'pending' AS classify_status FROM r WHERE n <= 7""")
 def batch_import_by_type(spark, d):
     """Types of every category of the catalogue, and one of none, with their categories."""
-    k, t = F.col("p_partkey") % 3, F.col("p_size") % len(TYPES)
-    kind = F.element_at(F.array(*[F.lit(n) for n, _ in TYPES]), (t + 1).cast("int"))
+    k = F.col("p_partkey") % 3
     path = F.concat(F.lit("/img/"), "p_partkey", F.when(k == 0, ".JPEG").when(k == 1, ".png").otherwise(".jpg"))
-    rows = v.table(spark, d, "part").select(path.alias("path"), F.lit(1).cast("long").alias("size"), F.md5("p_name").alias("md5"), kind.alias("type"))
+    rows = v.table(spark, d, "part").select(path.alias("path"), F.lit(1).cast("long").alias("size"), F.md5("p_name").alias("md5"), _typed().alias("type"))
     return vouchers.import_rows(rows, "b1", 7).select("file_name", "doc_type", "category", "file_format", "classify_status")
 
 
