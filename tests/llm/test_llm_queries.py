@@ -29,10 +29,10 @@ def rows(spark, name, at=DATA):
     return queries.queries()[name](spark, at).collect()
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op4_chat_format"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_rows_are_those_of_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     result = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in result.description]
