@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import providers, vector
 from ..functions import text as T
 from ..functions.catalogue import TYPES_OF, type_catalogue
-from ..operators import chunking, dml, quality, variants, vouchers
+from ..operators import chunking, dml, quality, section_tables, variants, vouchers
 from ..operators.graph import shared_folder
 from ..sources import files, logs, sinks
 from . import views as v
@@ -418,32 +418,71 @@ def vector_texts(spark, d):
 BODY = "repeat(n_name || ' ', 12)"
 
 
-@query(f"SELECT r_regionkey AS id, '第一章 ' || r_name AS chapter, n_name AS section, trim({BODY}) AS body FROM nation JOIN region ON n_regionkey = r_regionkey")
-def markdown_sections(spark, d):
-    """A chapter of each region with a section of each nation; sections of fewer than 50 characters go."""
+MARKDOWN_SECTIONS = f"SELECT r_regionkey AS id, '第一章 ' || r_name AS chapter, n_name AS section, trim({BODY}) AS body FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+def _markdown_sections_of(spark, d):
     rows = v.table(spark, d, "nation").join(v.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     part = F.concat(F.lit("## "), "n_name", F.lit("\n\n"), F.repeat(F.concat("n_name", F.lit(" ")), 12), F.lit("【图片：x】\n## short\ntoo few\n"))
     docs = rows.groupBy("r_regionkey", "r_name").agg(F.concat(F.lit("# 第一章 "), "r_name", F.lit("\n"), F.array_join(F.collect_list(part), "")).alias("text"))
-    return chunking.markdown_sections(docs.select(F.col("r_regionkey").alias("id"), "text")).select("id", "chapter", "section", "body")
+    return docs.select(F.col("r_regionkey").alias("id"), "text")
 
 
-@query(f"SELECT n_nationkey AS id, '第一章 ' || n_name AS chapter, '第二节 x' AS section, '一、 y' AS subsection, 1 AS page_start, n_nationkey % 2 = 0 AS has_table, trim({BODY}) || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'cells' ELSE '' END AS body FROM nation")
-def content_sections(spark, d):
+@query(MARKDOWN_SECTIONS)
+def markdown_sections(spark, d):
+    """A chapter of each region with a section of each nation; sections of fewer than 50 characters go."""
+    return chunking.markdown_sections(_markdown_sections_of(spark, d)).select("id", "chapter", "section", "body")
+
+
+@query(MARKDOWN_SECTIONS)
+def markdown_sections_walked(spark, d):
+    """The same by a table function over each document."""
+    return section_tables.markdown_sections(_markdown_sections_of(spark, d)).select("id", "chapter", "section", "body")
+
+
+CONTENT_SECTIONS = f"SELECT n_nationkey AS id, '第一章 ' || n_name AS chapter, '第二节 x' AS section, '一、 y' AS subsection, 1 AS page_start, n_nationkey % 2 = 0 AS has_table, trim({BODY}) || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'cells' ELSE '' END AS body FROM nation"
+
+
+def _content_sections_of(spark, d):
     rows = v.table(spark, d, "nation")
     item = lambda no, kind, text, page: F.struct(F.lit(no).alias("no"), F.lit(kind).alias("type"), text.alias("text"), F.lit(page).alias("page_idx"))
     body = F.repeat(F.concat("n_name", F.lit(" ")), 12)
     items = F.array(item(0, "text", F.concat(F.lit("第一章 "), "n_name", F.lit(" 12")), 0), item(1, "text", F.lit("第二节 x"), 0), item(2, "text", F.lit("一、 y"), 1), item(3, "text", body, 1), item(4, "table", F.when(F.col("n_nationkey") % 2 == 0, "cells"), 2))
     listed = rows.select(F.col("n_nationkey").alias("id"), F.explode(items).alias("x")).select("id", "x.*")
     listed = listed.where("type != 'table' OR text IS NOT NULL")
-    return chunking.content_sections(listed).select("id", "chapter", "section", "subsection", F.col("page_start").cast("int"), "has_table", "body")
+    return listed
 
 
-@query("SELECT n_nationkey AS id, 'MD-001' AS rule_id, '一、' || n_name AS heading, CASE WHEN n_nationkey % 2 = 0 THEN '高' ELSE '中' END AS risk FROM nation UNION ALL SELECT n_nationkey, 'MD-002', '二、next', CASE WHEN n_nationkey % 2 = 0 THEN '高' ELSE '中' END FROM nation")
-def rule_sections(spark, d):
-    """A risk level holds until another is told."""
+@query(CONTENT_SECTIONS)
+def content_sections(spark, d):
+    return chunking.content_sections(_content_sections_of(spark, d)).select("id", "chapter", "section", "subsection", F.col("page_start").cast("int"), "has_table", "body")
+
+
+@query(CONTENT_SECTIONS)
+def content_sections_walked(spark, d):
+    """The same by a table function over each document."""
+    return section_tables.content_sections(_content_sections_of(spark, d)).select("id", "chapter", "section", "subsection", F.col("page_start").cast("int"), "has_table", "body")
+
+
+RULE_SECTIONS = "SELECT n_nationkey AS id, 'MD-001' AS rule_id, '一、' || n_name AS heading, CASE WHEN n_nationkey % 2 = 0 THEN '高' ELSE '中' END AS risk FROM nation UNION ALL SELECT n_nationkey, 'MD-002', '二、next', CASE WHEN n_nationkey % 2 = 0 THEN '高' ELSE '中' END FROM nation"
+
+
+def _rule_sections_of(spark, d):
     text = F.concat(F.lit("一、"), "n_name", F.lit("\n"), F.when(F.col("n_nationkey") % 2 == 0, "风险等级：高风险\n").otherwise(""), F.repeat(F.lit("must be checked "), 4), F.lit("\n二、next\n"), F.repeat(F.lit("and so on with it "), 4))
     docs = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), text.alias("text"))
-    return chunking.rule_chunks(docs).select("id", "rule_id", "heading", "risk")
+    return docs
+
+
+@query(RULE_SECTIONS)
+def rule_sections(spark, d):
+    """A risk level holds until another is told."""
+    return chunking.rule_chunks(_rule_sections_of(spark, d)).select("id", "rule_id", "heading", "risk")
+
+
+@query(RULE_SECTIONS)
+def rule_sections_walked(spark, d):
+    """The same by a table function over each document."""
+    return section_tables.rule_chunks(_rule_sections_of(spark, d)).select("id", "rule_id", "heading", "risk")
 
 
 @query("""SELECT 'b1' AS batch, stage, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' WHEN count(*) FILTER (status = 'done') = count(*) THEN 'done' ELSE 'pending' END AS state, true AS timed
