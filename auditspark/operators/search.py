@@ -59,15 +59,19 @@ def hybrid_search(chunks: DataFrame, query: list[float], words: list[str], k: in
     return reciprocal_rank_fusion(vector_search(chunks, query, 2 * k, books).select(*columns), keyword_search(chunks, words, 2 * k, books), k)
 
 
-def graph_search(chunks: DataFrame, entities: DataFrame, edges: DataFrame, words: list[str], k: int = 5, seeds: int = 20, neighbours: int = 30) -> DataFrame:
-    """Chunks of the entities(id, name, rank, chunk_ids) that match a word and of their neighbours by edges(src, dst)."""
+def graph_search(chunks: DataFrame, entities: DataFrame, edges: DataFrame, words: list[str], k: int = 5, seeds: int = 20, neighbours: int = 30, books: list[str] | None = None) -> DataFrame:
+    """Chunks of the entities(id, name, rank, chunk_ids) that match a word and of their neighbours by edges(src, dst); with books, of
+    these alone, each named by a part of its name, case and all."""
     like = reduce(lambda a, b: a | b, (F.like(F.col("name"), F.lit(f"%{w}%")) for w in words))
     start = entities.where(like).orderBy("rank", "id").limit(seeds)
     down = edges.join(start.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().orderBy("id").limit(neighbours)
     up = edges.join(start.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct().orderBy("id").limit(neighbours)
     reached = start.select("id").union(down).union(up).distinct()
     ids = entities.join(reached, "id").select(F.explode("chunk_ids").alias("id")).distinct().orderBy("id").limit(3 * k)
-    return chunks.join(ids, "id").orderBy("id").limit(k).select("id", "content", F.lit(0.85).alias("similarity"))
+    found = chunks.join(ids, "id")
+    if books:
+        found = found.where(reduce(lambda a, b: a | b, (F.like(F.col("book"), F.lit(f"%{b}%")) for b in books)))
+    return found.orderBy("id").limit(k).select("id", "content", F.lit(0.85).alias("similarity"))
 
 
 def trigram_join(names: DataFrame, column: str, least: float = 0.3) -> DataFrame:

@@ -189,3 +189,24 @@ def keyword_search_segmented(spark, d):
     words = query_words("redboltwidget".translate(str.maketrans(LATIN, DENSE)), dictionary)
     rows = v.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("source_id"), _dense(F.replace("p_name", F.lit(" "), F.lit(""))).alias("content"))
     return search.keyword_search(rows, words, 8).select("id", "similarity")
+
+
+@query(f"""WITH {v.CHUNKS}, {v.GRAPH},
+ranked AS (SELECT *, [id % 500, (id + 7) % 500] AS ids FROM entities),
+seeds AS (SELECT id FROM ranked WHERE name LIKE '%NATION_1%' ORDER BY id LIMIT 20),
+down AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM seeds) ORDER BY id LIMIT 30),
+up AS (SELECT DISTINCT src AS id FROM edges WHERE dst IN (SELECT id FROM seeds) ORDER BY id LIMIT 30),
+picked AS (SELECT DISTINCT unnest(ids) AS id FROM ranked WHERE id IN (SELECT id FROM seeds UNION SELECT id FROM down UNION SELECT id FROM up) ORDER BY 1 LIMIT 60),
+keyed AS (SELECT id FROM (SELECT *, {COVERAGE} AS similarity FROM (SELECT * FROM chunks WHERE ({LIKE}) AND (book ILIKE '%RC1%' OR book ILIKE '%src2%') ORDER BY id LIMIT 40)) ORDER BY similarity DESC, id LIMIT 8)
+SELECT 'vector' AS mode, id FROM ({near(8, "book IN ('src1', 'src12')")}) UNION ALL SELECT 'keyword', id FROM keyed
+UNION ALL (SELECT 'graph', id FROM chunks WHERE id IN (SELECT id FROM picked) AND (book LIKE '%c1%' OR book LIKE '%C2%') ORDER BY id LIMIT 20)""")
+def searches_by_book(spark, d):
+    """Three searches within books: of a name, of a part of it in any case, of a part as it is written."""
+    chunks = v.chunks(spark, d)
+    e = v.entities(spark, d).withColumn("rank", F.lit(0)).withColumn("chunk_ids", F.array(F.col("id") % 500, (F.col("id") + 7) % 500))
+    found = {
+        "vector": search.vector_search(chunks, VECTOR, 8, ["src1", "src12"]), "keyword": search.keyword_search(chunks, WORDS, 8, ["RC1", "src2"]),
+        "graph": search.graph_search(chunks, e, v.edges(spark, d), ["NATION_1"], 20, books=["c1", "C2"]),
+    }
+    rows = [frame.select(F.lit(mode).alias("mode"), "id") for mode, frame in found.items()]
+    return rows[0].union(rows[1]).union(rows[2])
