@@ -167,10 +167,13 @@ def _search_blocks(blocks: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     """
     sizes = blocks.groupBy("leaf", "block").agg(F.count("*").alias("rows"))
     asked = visits.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("groups"))
-    cells = sizes.join(asked, "leaf")
-    rows = blocks.join(cells.select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")), ["leaf", "block"])
+    # A row for each block and group: few, and told to all tasks. The visits hold a vector each and are many times their table's size,
+    # which Spark does not foresee, so they would be broadcast themselves.
+    cells = sizes.join(asked.hint("merge"), "leaf")
+    parts = cells.select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    rows = blocks.join(F.broadcast(parts), ["leaf", "block"])
     spread = F.pmod(F.xxhash64("q_row"), F.col("groups")).cast("int")
-    queries = visits.join(cells.select("leaf", "block", "groups"), "leaf").withColumn("part", spread)
+    queries = visits.join(F.broadcast(cells.select("leaf", "block", "groups")), "leaf").withColumn("part", spread)
     rows = rows.select("leaf", "block", "part", "row", F.coalesce("id", F.lit(NO_ID)), "vector").toDF("r_leaf", "r_block", "r_part", "r_row", "r_id", "r_vec")
     queries = queries.select("leaf", "block", "part", "q_row", "q_own", "q_vec").toDF("v_leaf", "v_block", "v_part", "q_row", "q_own", "q_vec")
     paired = rows.groupBy("r_leaf", "r_block", "r_part").cogroup(queries.groupBy("v_leaf", "v_block", "v_part"))

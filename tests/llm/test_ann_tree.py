@@ -80,3 +80,13 @@ def test_own_row_alone_is_left_out_and_columns_may_clash(spark):
     assert first == {(None, 1): 1, (None, 2): 1, (None, 3): 2}
     outside = A.search(index, spark.createDataFrame([(7, [1.0, 0.0])], SCHEMA), k=4).collect()
     assert [r.vec_id for r in sorted(outside, key=lambda r: r.rank)] == [1, None, 1, 2]
+
+
+def test_no_vectors_are_broadcast(spark):
+    """Visits are many times their table's size, which the planner does not see: neither they nor the rows may go through the driver."""
+    index = A.build_index(spark.createDataFrame(data(500), SCHEMA), leaf_rows=40, block_rows=50)
+    queries = A.materialize(index.blocks.where("id % 10 = 0").selectExpr("row AS q_row", "row AS q_own", "vector AS q_vec"), "queries")
+    for visits in (A._with_visits(index, queries, 4), A._all_leaves(index, queries)):
+        plan = A._search_blocks(index.blocks, visits, 5)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        told = [part for part in plan.split("\n\n") if ") BroadcastExchange" in part]
+        assert told and not [part for part in told if "q_vec" in part or "vector" in part]
