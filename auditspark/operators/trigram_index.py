@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
+from .graph import cut
 from .search import any_ilike, similar_by_grams
+from .vouchers import numbered
 
 #: Trigrams of one word that are looked up, the rarest first, and how many times as frequent as the rarest they may be.
 MOST_GRAMS = 3
@@ -90,9 +92,41 @@ class TrigramIndex:
         """The rows whose text holds any of the words, in any case."""
         return self.narrowed(rows, words, id_column).where(any_ilike(F.col(text), words))
 
+    def similar_classes(self, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+        """(id, class) of all texts with postings, and a, b, similarity of the classes a < b that share `least` of their trigrams or more.
+
+        Texts of the same trigrams are a class, named by its least id: copies meet nothing by themselves.
+        """
+        grams = self.postings.groupBy("id").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
+        first = grams.groupBy("grams").agg(F.min("id").alias("class"))
+        members, first = cut(grams.join(first, "grams").select("id", "class")), cut(first)
+        listed = first.select(F.col("class").alias("name"), F.explode("grams").alias("gram"))
+        return members, similar_by_grams(listed, listed.groupBy("gram").agg(F.count("*").alias("n")), least)
+
     def similar_pairs(self, least: float = 0.3) -> DataFrame:
-        """a, b, similarity: ids a < b of texts that share `least` of their trigrams or more."""
-        return similar_by_grams(self.postings.select(F.col("id").alias("name"), "gram"), self.counts, least)
+        """a, b, similarity: ids a < b of texts that share `least` of their trigrams or more; copies are spread into all of their pairs."""
+        members, pairs = self.similar_classes(least)
+        of = lambda x: members.select(F.col("id").alias(f"{x}_id"), F.col("class").alias(x))
+        both = pairs.union(members.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")).distinct())
+        met = both.join(of("a"), "a").join(of("b"), "b").where((F.col("a") != F.col("b")) | (F.col("a_id") < F.col("b_id")))
+        return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
+
+    def similar_later(self, least: float = 0.3) -> DataFrame:
+        """id, n, similarity: of each text how many of greater id are that similar, and the sum of their similarities; those that have some.
+
+        Counted and not listed: a text's place in its class, and in each similar class put in one order with its own, tells how many come later.
+        """
+        members, pairs = self.similar_classes(least)
+        pairs = cut(pairs)
+        sizes = members.groupBy("class").agg(F.count("*").alias("size"))
+        own = cut(numbered(members, "class", "id").select("id", "class", F.col("number").alias("own")))
+        ends = pairs.select(F.concat_ws(" ", "a", "b").alias("pair"), "similarity", F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("b").alias("other")), F.struct(F.col("b").alias("class"), F.col("a").alias("other")))).alias("x"))
+        met = own.join(ends.select("pair", "similarity", "x.class", "x.other"), "class")
+        met = numbered(met, "pair", "id").join(sizes.select(F.col("class").alias("other"), "size"), "other")
+        # Of the texts before it in both classes, those that are not of its own are of the other.
+        across = met.select("id", (F.col("size") - (F.col("number") - F.col("own"))).alias("n"), "similarity")
+        within = own.join(sizes, "class").select("id", (F.col("size") - F.col("own")).alias("n"), F.lit(1.0).alias("similarity"))
+        return across.union(within).where("n > 0").groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("similarity")).alias("similarity"))
 
 
 def build_index(rows: DataFrame, path: str, id_column: str = "id", text: str = "text") -> TrigramIndex:

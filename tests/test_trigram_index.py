@@ -53,3 +53,14 @@ def test_pairs_are_those_of_the_join_on_names(spark, index):
     want = {(min(x, y), max(x, y)): s for (a, b), s in by_name.items() for x in names[a] for y in names[b]}
     alike = {k: s for k, s in got.items() if text[k[0]] != text[k[1]]}
     assert len(want) > 20 and alike == want
+
+
+def test_later_ones_are_counted_and_not_listed(spark, index):
+    want = {}
+    for r in index.similar_pairs(0.4).collect():
+        n, s = want.get(r.a, (0, 0.0))
+        want[r.a] = n + 1, s + r.similarity
+    got = {r.id: (r.n, r.similarity) for r in index.similar_later(0.4).collect()}
+    assert len(want) > 10 and got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - s) < 1e-9 for k, (n, s) in want.items())
+    members, pairs = index.similar_classes(0.4)
+    assert members.count() == index.postings.select("id").distinct().count() and not pairs.where("a >= b").count()
