@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.pixels import measured
 from ..functions.text import money
+from ..operators.graph import arrow_rows, cut
 from ..operators.quality import normalized_extension
 
+#: Files that Python holds at a time in a task, whole.
+FILES_AT_ONCE = 64
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp", "gif")
 CONTENT_ITEM = "array<struct<type:string,text:string,text_level:int,page_idx:int>>"
 RULE_BASE = "struct<version:string,categories:array<struct<category:string,rules:array<struct<id:string,name:string,content:string,risk_level:string>>>>>"
@@ -80,7 +83,8 @@ def measured_images(spark: SparkSession, path: str) -> DataFrame:
     side = lambda c: F.when(F.col(f"image.{c}") > 0, F.col(f"image.{c}")).alias(c)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     rows = read.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), F.col("_metadata.file_size").alias("size"), side("width"), side("height"), measured(F.col("image")).alias("m"))
-    return rows.select("path", "name", "size", "width", "height", "m.variance", "m.hash")
+    with arrow_rows(spark, FILES_AT_ONCE):  # pixels are many times the size of a row of measures, which are written here
+        return cut(rows.select("path", "name", "size", "width", "height", "m.variance", "m.hash"))
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_filename
 from ..functions.validate import to_bool
+from ..operators.graph import arrow_rows
+from .files import FILES_AT_ONCE
 
 # The columns of a wide audit row, by the name that reports give them; those of BOOLEANS are true or false.
 COLUMNS = {
@@ -57,4 +59,5 @@ def write_files(rows: DataFrame, path: str) -> None:
     from .file_layout import FileLayout
 
     rows.sparkSession.dataSource.register(FileLayout)
-    rows.select("file", "content", "text").write.format("file_layout").mode("append").save(path)
+    with arrow_rows(rows.sparkSession, FILES_AT_ONCE):
+        rows.select("file", "content", "text").write.format("file_layout").mode("append").save(path)

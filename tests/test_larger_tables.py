@@ -40,3 +40,40 @@ def test_more_files_of_a_type_than_four_digits(against_sql):
 
 def test_more_twins_of_a_type_than_four_digits(against_sql):
     assert len(against_sql("files_with_twins", part=PARTS.format(kind="LARGE", n=10_012))) == 20_024
+
+
+def test_python_gets_few_files_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from auditspark.operators.graph import arrow_rows
+
+    @F.pandas_udf("int")
+    def held(rows):
+        return rows * 0 + len(rows)
+
+    most = lambda: spark.range(0, 1000, 1, 1).select(held(F.col("id").cast("int")).alias("n")).agg(F.max("n")).first()[0]
+    with arrow_rows(spark, 64):
+        assert most() == 64
+    assert most() == 1000
+
+
+def test_measures_of_images_do_not_hang_on_the_batches_of_the_action(spark, tmp_path):
+    """Pixels are measured where few files go to Python at a time; what is returned reads the measures alone."""
+    from auditspark.plans import media
+
+    plan = media._images(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "image" not in plan.split("ReadSchema")[1]
+
+
+def test_statistics_are_kept_from_as_many_files_as_the_input_has_splits(spark, against_sql, monkeypatch):
+    frame = type(spark.range(1))
+    dealt, deal = [], frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *c: (dealt.append(n), deal(self, n, *c))[1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    lines = "SELECT i::BIGINT AS l_orderkey, 1 AS l_linenumber, (i % 10)::BIGINT AS l_partkey, (i % 50)::DOUBLE AS l_quantity, (i % 977)::DOUBLE AS l_extendedprice, 'R' AS l_returnflag, TIMESTAMP '2024-01-01' + INTERVAL (i % 99) DAY AS l_shipdate FROM range(20000) r(i)"
+    try:
+        against_sql("category_stats_kept", part=PARTS.format(kind="PROMO", n=10), lineitem=lines)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert max(dealt) > 3
