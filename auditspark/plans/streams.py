@@ -54,8 +54,9 @@ def category_stats_kept(spark, d):
     """category_extract_stats, kept up to date over micro-batches."""
     at = f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
     rows = v.extracts(spark, d).select("category", "f_amount", "f_party", "f_date", "risk")
-    rows.repartition(3).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    parts = max(3, v.table(spark, d, "lineitem").rdd.getNumPartitions())  # as many files as the input has splits
+    rows.repartition(parts).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-parts // 3)).parquet(f"{at}/in")
     for q in statistics.keep(stream, f"{at}/out", f"{at}/state"):
         q.awaitTermination()
     return statistics.current(spark, f"{at}/out")
