@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, heading_rank, is_garbage, sentences
 
+#: Documents whose pieces Python holds at a time in a task.
+DOCS_AT_ONCE = 200
+
 
 def fixed_chunks(docs: DataFrame, size: int = 600, overlap: int = 100) -> DataFrame:
     """id, chunk_no, chunk: pieces of `size` characters, each but the first with the `overlap` before it; blank ones go."""
@@ -69,14 +72,18 @@ def _merged(parts: list[str], least: int, most: int) -> list[str]:
 def semantic_chunks(docs: DataFrame, least: int = 300, most: int = 700, keep: int = 50) -> DataFrame:
     """id, chunk_no, chunk: paragraphs merged up to `most` characters; longer paragraphs are packed from their sentences.
 
-    Splitting and filtering are Columns; the merge, which depends on what was merged before, is a short pandas UDF.
+    Splitting and filtering are Columns; the merge, which depends on what was merged before, is a short Arrow UDF.
     """
     paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) >= 10)
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(sentences(p))))
 
-    @F.pandas_udf("array<string>")
-    def merged(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda parts: None if parts is None else _merged(list(parts), least, most))
+    @F.arrow_udf("array<string>")
+    def merged(batch: pa.Array) -> pa.Array:
+        # A batch stays as Arrow holds it; of so many documents at a time the pieces are Python's.
+        kind, done = pa.list_(pa.string()), []
+        for i in range(0, len(batch), DOCS_AT_ONCE):
+            done.append(pa.array([None if parts is None else _merged(parts, least, most) for parts in batch.slice(i, DOCS_AT_ONCE).to_pylist()], kind))
+        return pa.concat_arrays(done) if done else pa.array([], kind)
 
     chunks = F.when(F.length("text") <= most, F.array(F.trim("text"))).otherwise(merged(pieces))
     rows = docs.where(F.col("text").isNotNull()).select("id", F.posexplode(chunks).alias("chunk_no", "chunk"))
