@@ -32,16 +32,26 @@ def near_duplicate_pairs(hashes: DataFrame, least_bits: int = 5, bucket_bits: in
 def near_duplicate_pairs_global(hashes: DataFrame, least_bits: int = 5) -> DataFrame:
     """a, b, bits of all hashes(id, h) that differ in fewer than least_bits bits, whatever bucket they are in.
 
-    Of least_bits segments of a hash such a pair has one in common, so pairs meet on equal segments and not all with all.
+    Up to least_bits 3 such a pair is one hash if a bit at most is changed in each, so pairs meet on hashes with one changed bit, of
+    those bits that differ between any. Beyond that, of least_bits segments of a hash such a pair has one in common.
     """
-    cuts = [64 * i // least_bits for i in range(least_bits + 1)]
-    segment = lambda x, y: F.shiftrightunsigned(F.shiftleft("h", x), 64 - (y - x))
-    segments = F.array(*[F.struct(F.lit(i).alias("i"), segment(x, y).alias("s")) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))])
-    rows = hashes.groupBy("h").agg(F.min("id").alias("id")).select("id", "h", F.explode(segments).alias("at")).select("id", "h", "at.*")
-    a, b = rows.toDF("a", "h_a", "i", "s"), rows.toDF("b", "h_b", "i_b", "s_b")
+    first = hashes.groupBy("h").agg(F.min("id").alias("id"))
     bits = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b")))
-    met = a.join(b, (F.col("i") == F.col("i_b")) & (F.col("s") == F.col("s_b")) & (F.col("a") < F.col("b"))).where(bits < least_bits)
-    return met.select("a", "b", bits.cast("int").alias("bits")).distinct()
+    if least_bits <= 3:
+        first = cut(first)
+        varies = first.agg(F.bit_or("h").bitwiseXOR(F.bit_and("h")).alias("m")).first().m or 0
+        one = [F.col("h").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64) if varies >> i & 1]
+        keyed = lambda most: first.select("id", "h", F.explode(F.array(F.col("h"), *(one if most else []))).alias("s"))
+        a, b = keyed(least_bits > 1).toDF("a", "h_a", "s"), keyed(least_bits > 2).toDF("b", "h_b", "s_b")
+        met = a.join(b, (F.col("s") == F.col("s_b")) & (F.col("a") < F.col("b")))
+    else:
+        cuts = [64 * i // least_bits for i in range(least_bits + 1)]
+        segment = lambda x, y: F.shiftrightunsigned(F.shiftleft("h", x), 64 - (y - x))
+        segments = F.array(*[F.struct(F.lit(i).alias("i"), segment(x, y).alias("s")) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))])
+        rows = first.select("id", "h", F.explode(segments).alias("at")).select("id", "h", "at.*")
+        a, b = rows.toDF("a", "h_a", "i", "s"), rows.toDF("b", "h_b", "i_b", "s_b")
+        met = a.join(b, (F.col("i") == F.col("i_b")) & (F.col("s") == F.col("s_b")) & (F.col("a") < F.col("b")))
+    return met.where(bits < least_bits).select("a", "b", bits.cast("int").alias("bits")).distinct()
 
 
 def greedy_near_duplicates(hashes: DataFrame, least_bits: int = 5, bucket_bits: int = 16) -> DataFrame:

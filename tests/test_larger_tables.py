@@ -77,3 +77,21 @@ def test_statistics_are_kept_from_as_many_files_as_the_input_has_splits(spark, a
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert max(dealt) > 3
+
+
+@pytest.mark.parametrize("least_bits", [1, 2, 3])
+def test_hashes_of_few_bits_do_not_all_meet(spark, least_bits):
+    """Hashes that fill a part of the 64 bits share the rest: that must not make them candidates of each other."""
+    import random
+
+    from auditspark.operators import quality
+
+    rng = random.Random(5)
+    rows = [(i, rng.getrandbits(12)) for i in range(150)] + [(200, -(1 << 63)), (201, -(1 << 63) + 1)]
+    first = {}
+    for i, h in rows:
+        first.setdefault(h, i)
+    want = {(a, b, ((x ^ y) & (1 << 64) - 1).bit_count()) for x, a in first.items() for y, b in first.items() if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() < least_bits}
+    found = quality.near_duplicate_pairs_global(spark.createDataFrame(rows, "id long, h long"), least_bits)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "shiftrightunsigned" not in found._jdf.queryExecution().toString()
