@@ -1,9 +1,11 @@
 """Near-duplicate removal: SimHash groups, and a prefix-filter join on word shingles that is complete for the similarity asked for.
 
-Documents count as near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come
-from two searches, and all are judged by the exact measure:
+Documents count as near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. They are found by
+two searches, one after the other, and all are judged by the exact measure:
 
-- the trie self-join of `simhash_trie`, over fingerprints of five-word shingles: each text with the least document of its group;
+- the trie self-join of `simhash_trie`, over fingerprints of five-word shingles: texts that are very near the least document of their
+  group leave before the second search, which never meets them. Should that document go later, its copies are judged against
+  what it went for; if one is not near to that, nothing leaves early and the second search takes all texts;
 - since fingerprints miss copies that are just near enough, a prefix filter for the rest. Put all shingles in one order: two sets
   of that similarity share a shingle among the first n - ceil(0.8 * n) + 1 of each, n being its size, so texts that share one of
   these are candidates and no pair is missed; what stands before the first that they share is not common, so it must stand early
@@ -43,6 +45,8 @@ from .simhash_trie import SEED, simhash_groups
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Texts leave early that are so similar to the least of their SimHash group: what that may go for later is hardly ever not near to them.
+EARLY_SIMILARITY = 0.95
 #: Of a shingle of at most so many texts, all pairs are judged.
 LEAF_SIZE = 32
 #: The same for texts that meet again, of which there are few, and few pairs whose sizes and places allow the similarity.
@@ -223,9 +227,11 @@ def possible(long: DataFrame, least: float) -> DataFrame:
     return left.drop("most")
 
 
-def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE_WORDS, leaf_size: int = LEAF_SIZE) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE_WORDS, leaf_size: int = LEAF_SIZE, early: bool = True) -> DataFrame:
     """doc_id, digest, of: every text that goes (rows with this doc_id and this md5), and the document that it is a copy of.
 
+    early: whether texts that are near the least of their SimHash group leave before the prefix filter; what goes is the same.
+
     Each round settles the least document of a pair at least, or takes texts from long runs, so the rounds end.
     """
     spark = docs.sparkSession
@@ -264,23 +270,15 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
         dealt = rows.repartition("shingle", F.when(F.col("hot"), F.pmod("key", F.lit(HOT_PARTS))).otherwise(0)).sortWithinPartitions("shingle", "key")
         return materialize(dealt.mapInArrow(_read_runs(least, leaf_size), "paired boolean, shingle long, a long, b long, size int, place int"), name)
 
-    by_text = known.select(F.xxhash64("text").alias("key"), "text")
-    met = runs(by_text, known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(SAMPLE_SHARE * (1 << 20))), "met", leaf_size)
-    end = lambda name: nodes.select(F.col("key").alias(f"{name}_key"), F.col("doc_id").alias(f"{name}_id"))
-    groups = simhash_groups(by_text, doc_id="key", shingle_words=width, leaf_size=TRIE_LEAF).where("doc_id != component_id")
-    pairs = met.where("paired").select("a", "b").union(groups.select("doc_id", "component_id")).distinct()
-    pairs = pairs.join(end("x"), F.col("a") == F.col("x_key")).join(end("y"), F.col("b") == F.col("y_key"))
-    pairs = materialize(pairs.select(F.greatest("x_id", "y_id").alias("doc_id"), F.least("x_id", "y_id").alias("of")).where("doc_id != of").distinct(), "pairs")
-    held = met.where("NOT paired").select("shingle", "a", "size", "place").distinct().join(end("x"), F.col("a") == F.col("x_key"))
-    long = materialize(possible(held.select("shingle", F.col("x_id").alias("doc_id"), "size", "place"), least), "long")
-
-    met_ids = materialize(pairs.select(F.explode(F.array("doc_id", "of")).alias("id")).union(long.select("doc_id")).distinct(), "ids")
     own = nodes.select(F.col("doc_id").alias("n_id"), F.col("key").alias("n_key"))
-    some = _of_ids(known.withColumn("key", F.xxhash64("text")), "doc_id", met_ids)
-    met_texts = materialize(some.join(own, (F.col("doc_id") == F.col("n_id")) & (F.col("key") == F.col("n_key")), "left_semi").select("doc_id", "text", signed("text").alias("s")).dropDuplicates(["doc_id"]), "met_texts")
 
-    def judged(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of pairs(doc_id, of) that are near: by signatures first, then by the texts of those that are left. Very many may
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """doc_id, text, s (size and signature) of the ids(id)."""
+        some = _of_ids(known.withColumn("key", F.xxhash64("text")), "doc_id", ids)
+        return materialize(some.join(own, (F.col("doc_id") == F.col("n_id")) & (F.col("key") == F.col("n_key")), "left_semi").select("doc_id", "text", signed("text").alias("s")).dropDuplicates(["doc_id"]), name)
+
+    def judged(pairs: DataFrame, name: str, met_texts: DataFrame, similar: float = least) -> DataFrame:
+        """Those of pairs(doc_id, of) that are that similar: by signatures first, then by the texts of those that are left. Very many may
         share one `of`: its text goes to them."""
         end = lambda frame, x, c: frame.select(F.col("doc_id").alias(f"{x}_id"), *[F.col(k).alias(f"{x}_{v}") for k, v in c.items()])
         both = lambda frame, c: pairs_of.join(end(frame, "y", c), F.col("of") == F.col("y_id")).join(end(frame, "x", c), F.col("doc_id") == F.col("x_id"))
@@ -289,9 +287,37 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
         pairs_of = materialize(met.select("doc_id", "of"), "likely")
         ids = materialize(pairs_of.select(F.explode(F.array("doc_id", "of")).alias("id")).distinct(), "likely_ids")
         texts = _of_ids(met_texts.select("doc_id", "text"), "doc_id", ids)
-        return materialize(both(texts, {"text": "text"}).where(alike("x_text", "y_text") >= least).select("doc_id", "of"), name)
+        return materialize(both(texts, {"text": "text"}).where(alike("x_text", "y_text") >= similar).select("doc_id", "of"), name)
+
+    def near_of(pairs: DataFrame, name: str, similar: float = least) -> DataFrame:
+        """judged() for pairs of texts that are not read yet."""
+        ids = materialize(pairs.select(F.explode(F.array("doc_id", "of")).alias("id")).distinct(), f"{name}_ids")
+        return judged(pairs, name, texts_of(ids, f"{name}_texts"), similar)
+
+    by_text = known.select(F.xxhash64("text").alias("key"), "text")
+    copies = None
+    if early:
+        groups = simhash_groups(by_text, doc_id="key", shingle_words=width, leaf_size=TRIE_LEAF).where("doc_id != component_id")
+        groups = materialize(groups.select("doc_id", "component_id").distinct(), "groups")
+        if groups.limit(1).count():
+            members = groups.union(groups.select("component_id", "component_id").distinct()).join(own, F.col("doc_id") == F.col("n_key"))
+            firsts = members.groupBy(F.col("component_id").alias("c")).agg(F.min("n_id").alias("of"))
+            copies = near_of(materialize(members.join(firsts, F.col("component_id") == F.col("c")).where("n_id != of").select(F.col("n_id").alias("doc_id"), "of"), "grouped"), "early", max(least, EARLY_SIMILARITY))
+            left = materialize(copies.join(own, F.col("doc_id") == F.col("n_id")).select(F.col("n_key").alias("id")), "early_keys")
+            few = left.count() <= BROADCAST_IDS
+            by_text = by_text.join(F.broadcast(left) if few else left, F.col("key") == F.col("id"), "left_anti")
+    met = runs(by_text, known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(SAMPLE_SHARE * (1 << 20))), "met", leaf_size)
+    end = lambda name: nodes.select(F.col("key").alias(f"{name}_key"), F.col("doc_id").alias(f"{name}_id"))
+    pairs = met.where("paired").select("a", "b").distinct()
+    pairs = pairs.join(end("x"), F.col("a") == F.col("x_key")).join(end("y"), F.col("b") == F.col("y_key"))
+    pairs = materialize(pairs.select(F.greatest("x_id", "y_id").alias("doc_id"), F.least("x_id", "y_id").alias("of")).where("doc_id != of").distinct(), "pairs")
+    held = met.where("NOT paired").select("shingle", "a", "size", "place").distinct().join(end("x"), F.col("a") == F.col("x_key"))
+    long = materialize(possible(held.select("shingle", F.col("x_id").alias("doc_id"), "size", "place"), least), "long")
+
+    met_ids = materialize(pairs.select(F.explode(F.array("doc_id", "of")).alias("id")).union(long.select("doc_id")).distinct(), "ids")
+    met_texts = texts_of(met_ids, "met_texts")
 
-    sure, gone, opened = judged(pairs, "near"), [], 1
+    sure, gone, opened = judged(pairs, "near", met_texts), [], 1
     while True:
         if opened == 2 and long.limit(1).count():
             # What the sample did not show to be common is known by now for the few texts that are left in long runs: put in order by
@@ -300,14 +326,14 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
             texts_left = _of_ids(met_texts, "doc_id", materialize(left, "left"))
             again = runs(texts_left.select("doc_id", "text"), texts_left, "met_again", LEAF_AGAIN if leaf_size == LEAF_SIZE else 2 * leaf_size)
             more = again.where("paired").select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("of")).distinct()
-            sure = sure.union(judged(more, "near"))
+            sure = sure.union(judged(more, "near", met_texts))
             long = materialize(possible(again.where("NOT paired").select("shingle", F.col("a").alias("doc_id"), "size", "place").distinct(), least), "long")
         held = long.limit(1).count() > 0
         if held:
             number = F.row_number().over(Window.partitionBy("shingle").orderBy("doc_id"))
             firsts = materialize(long.withColumn("number", number).where(F.col("number") <= opened).select(F.col("shingle").alias("f_shingle"), F.col("doc_id").alias("first"), F.col("size").alias("f_size"), F.col("place").alias("f_place")), "firsts")
             beside = long.join(firsts, F.col("shingle") == F.col("f_shingle")).where((F.col("doc_id") != F.col("first")) & enough_left(F.col("size"), F.col("f_size"), F.col("place"), F.col("f_place"), least))
-            sure = sure.union(judged(beside.select(F.greatest("doc_id", "first").alias("doc_id"), F.least("doc_id", "first").alias("of")).distinct(), "judged"))
+            sure = sure.union(judged(beside.select(F.greatest("doc_id", "first").alias("doc_id"), F.least("doc_id", "first").alias("of")).distinct(), "judged", met_texts))
             long = long.join(firsts, (F.col("shingle") == F.col("f_shingle")) & (F.col("doc_id") == F.col("first")), "left_anti")
             opened = min(MOST_OPENED, 2 * opened)
         elif not sure.limit(1).count():
@@ -326,6 +352,18 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
         several = long.groupBy(F.col("shingle").alias("m_shingle")).agg(F.count("*").alias("n")).where("n > 1").select("m_shingle")
         long = materialize(long.join(several, F.col("shingle") == F.col("m_shingle"), "left_semi"), "long")
     left = marked.select("doc_id", "digest").distinct().join(texts.select(F.col("digest").alias("t_digest"), F.col("doc_id").alias("of")), F.col("digest") == F.col("t_digest")).where(F.col("doc_id") != F.col("of"))
+    if copies is not None:
+        stays = copies
+        if gone:
+            went = materialize(reduce(DataFrame.union, gone).select(F.col("doc_id").alias("g_id"), F.col("of").alias("g_of")), "went")
+            stays = copies.join(went, F.col("of") == F.col("g_id"), "left_anti")
+            orphans = materialize(copies.join(went, F.col("of") == F.col("g_id")).select("doc_id", F.col("g_of").alias("of")).distinct(), "orphans")
+            if orphans.limit(1).count():
+                found = near_of(orphans, "adopted")
+                if orphans.join(found.select(F.col("doc_id").alias("f_id")), F.col("doc_id") == F.col("f_id"), "left_anti").limit(1).count():
+                    return near_copies(docs, least, width, leaf_size, early=False)
+                gone.append(found)
+        gone.append(stays)
     if not gone:
         return left.select("doc_id", "digest", "of")
     near_gone = reduce(DataFrame.union, gone).join(texts.select(F.col("doc_id").alias("t_id"), "digest"), F.col("doc_id") == F.col("t_id"))

@@ -141,3 +141,44 @@ def test_signatures_never_rule_out_near_sets_and_rule_out_most_others():
             assert may or not near
             kept[may] += n >= 60 and share <= 0.6
     assert kept[True] < 0.02 * kept[False]
+
+
+def test_simhash_groups_spare_the_prefix_filter(spark, monkeypatch):
+    """Texts of one SimHash group that are near its least document are not looked for again, and what stays is the same, also if
+    that document goes for one that they are near to, or are not near to."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(600)]
+    cut = lambda words, n: words[: len(words) - n]
+    rows = [(10, " ".join(base), "x"), (11, " ".join([*base, "end"]), "x"), (12, " ".join([*base, "last", "end"]), "x")]
+    rows += [(20 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(200)), "other") for i in range(4)]
+    near, barely = (5, " ".join(cut(base, 40)), "x"), (5, " ".join(cut(base, 119)), "x")
+    assert N.similarity(barely[1], rows[0][1]) >= 0.8 > N.similarity(barely[1], rows[2][1])
+    sizes, read = [], N._prefix_rows
+
+    def counted(shared, least, width, leaf_size):
+        sizes.append(width)
+        return read(shared, least, width, leaf_size)
+
+    monkeypatch.setattr(N, "_prefix_rows", counted)
+    tables = {}
+    kept_as = N.materialize
+
+    def noted(df, name="table"):
+        out = kept_as(df, name)
+        tables.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(N, "materialize", noted)
+    for more, passes in (([], 1), ([near], 1), ([barely], 2)):
+        sizes.clear()
+        tables.clear()
+        every = rows + more
+        stay: list[int] = []
+        for i, text, _ in sorted(every):
+            if not any(N.similarity(text, t) >= 0.8 for j, t, _ in every if j in stay):
+                stay.append(i)
+        kept = sorted(r.doc_id for r in N.drop_near_copies(spark.createDataFrame(every[::-1], SCHEMA)).collect())
+        assert kept == stay and len(sizes) == passes
+        assert {r.doc_id for r in tables["early"].collect()} == {11, 12}
+        early = {r.id for r in tables["early_keys"].collect()}
+        assert len(early) == 2 and not early & {k for r in tables["met"].select("a", "b").collect() for k in (r.a, r.b)}
