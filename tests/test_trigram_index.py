@@ -1,9 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from auditspark.operators import search
+from auditspark.functions.text import trigrams
+from auditspark.operators import search, trigram_index
 from auditspark.operators.trigram_index import build_index
 
 rng = random.Random(3)
@@ -64,3 +67,23 @@ def test_later_ones_are_counted_and_not_listed(spark, index):
     assert len(want) > 10 and got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - s) < 1e-9 for k, (n, s) in want.items())
     members, pairs = index.similar_classes(0.4)
     assert members.count() == index.postings.select("id").distinct().count() and not pairs.where("a >= b").count()
+
+
+def test_the_first_are_found_lot_by_lot(spark, index, monkeypatch):
+    rows = spark.createDataFrame(TEXTS, "id long, text string")
+    monkeypatch.setattr(trigram_index, "LOT", 1)
+    for words, most in ((["abc", "ab_1"], 3), (["票"], 2), (["a"], 5), (["a%b%c a"], 4), (["nothing here"], 2), (["-"], 1)):
+        want = sorted(i for i, t in TEXTS if any(ilike(t, w) for w in words))
+        got = sorted(r.id for r in index.first_holding(rows, words, "text", most).collect())
+        assert got[:most] == want[:most] and set(got) <= set(want)
+
+
+def test_blocks_hold_the_trigrams_of_similarity(spark, index, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigram_index, "BLOCK_POSTINGS", 50)
+    rows = spark.createDataFrame([*TEXTS, (400, "İstanbul ﬁn 𝒜𝟙x\u00a0y—z"), (401, "  "), (402, "aa aa aa")], "id long, text string")
+    want = sorted((r.id, r.g) for r in rows.select("id", F.explode(trigrams(F.col("text"))).alias("g")).collect())
+    small = build_index(rows, str(tmp_path / "i"))
+    assert sorted((r.id, r.gram) for r in small.postings.collect()) == want
+    stored = spark.read.parquet(f"{small.path}/postings")
+    assert stored.count() < len(want) and stored.where("n <> size(ids)").count() == 0
+    assert {(r.gram, r.n) for r in small.counts.collect()} == set(Counter(g for _, g in want).items())
