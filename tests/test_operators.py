@@ -234,3 +234,51 @@ def test_stream_works_on_each_voucher_once(spark, tmp_path):
     assert status.ready_for(done, "classify", "extract").count() == 135
     events = frame(spark, [(1, 1, "pending"), (1, 2, "done"), (2, 1, "failed")], "id long, ts long, status string")
     assert {r.id: r.status for r in status.latest_status(events).collect()} == {1: "done", 2: "failed"}
+
+
+def _shuffled(df):
+    """Bytes that an executed plan's exchanges wrote."""
+    total = 0
+
+    def walk(node):
+        nonlocal total
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name == "Exchange":
+            total += node.metrics().apply("shuffleBytesWritten").value()
+        below = node.children().iterator()
+        while below.hasNext():
+            walk(below.next())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return total
+
+
+def test_searches_do_not_shuffle_whole_texts(spark, tmp_path):
+    """Texts and vectors are a join, ids are repeated and null: the results are the first rows of the whole join, as before."""
+    rng = random.Random(5)
+    docs = [(i % 190 if i % 50 else None, f"{'with ' if i % 3 else ''}" + " ".join(f"{rng.getrandbits(60):x}" for _ in range(300))) for i in range(200)]
+    vecs = [(i % 150, [rng.random() for _ in range(4)] if i % 7 else None) for i in range(160)]
+    spark.createDataFrame(docs, "id long, content string").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame(vecs, "e_id long, embedding array<double>").write.parquet(f"{tmp_path}/e")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        d, e = spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/e")
+        chunks = d.join(e, d.id == e.e_id, "left").select("id", "content", F.col("id").alias("source_id"), F.lit("c").alias("course"), F.lit("b").alias("book"), "embedding")
+        q = [0.5, 0.5, 0.5, 0.5]
+        rows = chunks.collect()
+        first = lambda x: (x is not None, x or 0)
+        dist = lambda r: round(sum((a - b) ** 2 for a, b in zip(r.embedding, q)) ** 0.5, 9) if r.embedding else 9e9
+        near, keyed = search.vector_search(chunks, q, 12), search.keyword_search(chunks, ["with", "WITH"], 4)
+        assert [r.id for r in near.collect()] == [r.id for r in sorted(rows, key=lambda r: (dist(r), first(r.id)))[:12]]
+        held = sorted((r for r in rows if "with" in r.content), key=lambda r: first(r.id))[:20]
+        assert [r.id for r in keyed.collect()] == [r.id for r in held[:4]]
+        assert _shuffled(near) + _shuffled(keyed) < 0.3 * sum(len(t) for _, t in docs)
+    finally:
+        for name in names:
+            spark.conf.unset(name)
