@@ -72,3 +72,30 @@ def test_statistics_follow_each_batch_and_a_batch_that_runs_twice_counts_once(sp
             assert (g.total, g.with_amount, g.without_amount, g.parties) == (len(own), len(amounts), len(own) - len(amounts), len({r[2] for r in own} - {None}))
             assert (g.risky, g.first_date, g.last_date, g.max_amount) == (Counter(r[4] for r in own)["R"], min(r[3] for r in own), max(r[3] for r in own), max(amounts))
             assert g.avg_amount == pytest.approx(sum(amounts) / len(amounts), abs=1e-3)
+
+
+def test_vouchers_of_a_bundle_share_state_and_timer_and_are_told_apart(spark, tmp_path, monkeypatch):
+    """Neighbours wait for different times and one is overtaken; far fewer keys than vouchers reach Python."""
+    calls = spark.sparkContext.accumulator(0)
+    take = V.Standing.handleInputRows
+
+    class Counted(V.Standing):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from take(self, key, rows, timerValues)
+
+    monkeypatch.setattr(V, "Standing", Counted)
+    at, ids = str(tmp_path), [*range(-300, 300), 2**62]
+    first = [(i, START + HOUR * (i % 7), n, "done" if i % 3 == 0 else "pending") for n, i in enumerate(ids)]
+    second = [(i, START + 9 * HOUR, 2000 + n, "pending") for n, i in enumerate(ids) if i % 2 == 0]
+    third = [(9999, START + 17 * HOUR, 9000, "done")]  # the mark is at 14 hours: the second events wait, until 15 hours, and the first do not
+    every = []
+    for part in (first, second, third):
+        every += part
+        write(spark, part, f"{at}/in")
+        follow(spark, at)
+        got = {(r.id, r.status, r.at, r.stuck) for r in V.standing(spark.read.parquet(f"{at}/out")).collect()}
+        want = {(r.id, r.status, r.at, r.stuck) for r in V.standing_of(spark.createDataFrame(every, EVENTS), 6 * 3_600_000, "3 hours", ("done", "failed")).collect()}
+        assert got == want
+    assert {s for *_, s in got} == {True, False}
+    assert 0 < calls.value <= 12
