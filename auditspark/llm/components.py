@@ -19,8 +19,12 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Rows with a null end and loops are ignored; repeated and reversed edges count once. Each round is written to the shared
     folder. The rounds stop when the edges no longer change: every edge then leads from a node to its root.
     """
+    digest = lambda frame: frame.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     ends = edges.where(F.col("a") != F.col("b"))
     now = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    was = digest(now)
+    if not was.n:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each larger neighbour of u is linked to the least one.
@@ -29,10 +33,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small, "edges")
-        same = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        if same.first() == now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first():
+        if (same := digest(after)) == was:
             break
-        now = after
+        now, was = after, same
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

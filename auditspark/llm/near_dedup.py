@@ -207,9 +207,9 @@ def _read_runs(least: float, leaf_size: int, at_once: int = 20_000):
     return runs
 
 
-def _of_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """rows whose column is among the ids(id), each there once."""
-    few = ids.count() <= BROADCAST_IDS
+def _of_ids(rows: DataFrame, column: str, ids: DataFrame, n: int | None = None) -> DataFrame:
+    """rows whose column is among the ids(id), which are n, if that is known."""
+    few = (ids.count() if n is None else n) <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("id"), "left_semi")
 
 
@@ -258,8 +258,8 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = materialize(known.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.xxhash64("text").alias("key")), "digests")
     texts = materialize(marked.groupBy("digest", "key").agg(F.min("doc_id").alias("doc_id")), "texts")
-    shared_ids = materialize(texts.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "shared_ids")
-    nodes = materialize(texts.join(shared_ids, F.col("doc_id") == F.col("id"), "left_anti").select("key", "doc_id"), "nodes")
+    alone = texts.groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
+    nodes = materialize(alone.select("key", "doc_id"), "nodes")
 
     def runs(keyed: DataFrame, counted_in: DataFrame, name: str, leaf_size: int) -> DataFrame:
         """What texts of keyed(key, text) meet on, in the order that the shingles of counted_in(text) give."""
@@ -272,27 +272,32 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
 
     own = nodes.select(F.col("doc_id").alias("n_id"), F.col("key").alias("n_key"))
 
-    def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        """doc_id, text, s (size and signature) of the ids(id)."""
-        some = _of_ids(known.withColumn("key", F.xxhash64("text")), "doc_id", ids)
+    def texts_of(ids: DataFrame, name: str, n: int | None = None) -> DataFrame:
+        """doc_id, text, s (size and signature) of the ids(id), which are n, if that is known."""
+        some = _of_ids(known.withColumn("key", F.xxhash64("text")), "doc_id", ids, n)
         return materialize(some.join(own, (F.col("doc_id") == F.col("n_id")) & (F.col("key") == F.col("n_key")), "left_semi").select("doc_id", "text", signed("text").alias("s")).dropDuplicates(["doc_id"]), name)
 
-    def judged(pairs: DataFrame, name: str, met_texts: DataFrame, similar: float = least) -> DataFrame:
-        """Those of pairs(doc_id, of) that are that similar: by signatures first, then by the texts of those that are left. Very many may
-        share one `of`: its text goes to them."""
-        end = lambda frame, x, c: frame.select(F.col("doc_id").alias(f"{x}_id"), *[F.col(k).alias(f"{x}_{v}") for k, v in c.items()])
-        both = lambda frame, c: pairs_of.join(end(frame, "y", c), F.col("of") == F.col("y_id")).join(end(frame, "x", c), F.col("doc_id") == F.col("x_id"))
-        pairs_of = pairs
-        met = both(met_texts, {"s.n": "n", "s.signature": "s"}).where(possibly("x_n", "x_s", "y_n", "y_s"))
-        pairs_of = materialize(met.select("doc_id", "of"), "likely")
-        ids = materialize(pairs_of.select(F.explode(F.array("doc_id", "of")).alias("id")).distinct(), "likely_ids")
-        texts = _of_ids(met_texts.select("doc_id", "text"), "doc_id", ids)
-        return materialize(both(texts, {"text": "text"}).where(alike("x_text", "y_text") >= similar).select("doc_id", "of"), name)
-
-    def near_of(pairs: DataFrame, name: str, similar: float = least) -> DataFrame:
-        """judged() for pairs of texts that are not read yet."""
-        ids = materialize(pairs.select(F.explode(F.array("doc_id", "of")).alias("id")).distinct(), f"{name}_ids")
-        return judged(pairs, name, texts_of(ids, f"{name}_texts"), similar)
+    def both(pairs: DataFrame, frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """pairs(doc_id, of) with these columns of frame for either end, x_ and y_."""
+        end = lambda x: frame.select(F.col("doc_id").alias(f"{x}_id"), *[F.col(k).alias(f"{x}_{v}") for k, v in columns.items()])
+        return pairs.join(end("y"), F.col("of") == F.col("y_id")).join(end("x"), F.col("doc_id") == F.col("x_id"))
+
+    ends_of = lambda pairs: pairs.select(F.explode(F.array("doc_id", "of")).alias("id"))
+
+    def judged(pairs: DataFrame, name: str, met_texts: DataFrame) -> DataFrame | None:
+        """Those of pairs(doc_id, of) that are near, None if none may be: by signatures first, then by the texts of those that are left.
+        Very many may share one `of`: its text goes to them."""
+        met = both(pairs, met_texts, {"s.n": "n", "s.signature": "s"}).where(possibly("x_n", "x_s", "y_n", "y_s"))
+        likely = materialize(met.select("doc_id", "of"), "likely")
+        if not (n := likely.count()):
+            return None
+        texts = _of_ids(met_texts.select("doc_id", "text"), "doc_id", ends_of(likely), 2 * n)
+        return materialize(both(likely, texts, {"text": "text"}).where(alike("x_text", "y_text") >= least).select("doc_id", "of"), name)
+
+    def near_of(pairs: DataFrame, name: str, n: int, similar: float = least) -> DataFrame:
+        """Those of n pairs of texts that are not read yet which are that similar. Most are, so signatures would spare little."""
+        some = texts_of(ends_of(pairs), f"{name}_texts", 2 * n)
+        return materialize(both(pairs, some, {"text": "text"}).where(alike("x_text", "y_text") >= similar).select("doc_id", "of"), name)
 
     by_text = known.select(F.xxhash64("text").alias("key"), "text")
     copies = None
@@ -302,7 +307,8 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
         if groups.limit(1).count():
             members = groups.union(groups.select("component_id", "component_id").distinct()).join(own, F.col("doc_id") == F.col("n_key"))
             firsts = members.groupBy(F.col("component_id").alias("c")).agg(F.min("n_id").alias("of"))
-            copies = near_of(materialize(members.join(firsts, F.col("component_id") == F.col("c")).where("n_id != of").select(F.col("n_id").alias("doc_id"), "of"), "grouped"), "early", max(least, EARLY_SIMILARITY))
+            grouped = materialize(members.join(firsts, F.col("component_id") == F.col("c")).where("n_id != of").select(F.col("n_id").alias("doc_id"), "of"), "grouped")
+            copies = near_of(grouped, "early", grouped.count(), max(least, EARLY_SIMILARITY))
             left = materialize(copies.join(own, F.col("doc_id") == F.col("n_id")).select(F.col("n_key").alias("id")), "early_keys")
             few = left.count() <= BROADCAST_IDS
             by_text = by_text.join(F.broadcast(left) if few else left, F.col("key") == F.col("id"), "left_anti")
@@ -318,48 +324,55 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE
     met_texts = texts_of(met_ids, "met_texts")
 
     sure, gone, opened = judged(pairs, "near", met_texts), [], 1
+    held = long.limit(1).count() > 0
     while True:
-        if opened == 2 and long.limit(1).count():
+        if opened == 2 and held:
             # What the sample did not show to be common is known by now for the few texts that are left in long runs: put in order by
             # all of their shingles, texts of one template meet no more, unless they are near.
             left = long.select(F.col("doc_id").alias("id")).distinct()
             texts_left = _of_ids(met_texts, "doc_id", materialize(left, "left"))
             again = runs(texts_left.select("doc_id", "text"), texts_left, "met_again", LEAF_AGAIN if leaf_size == LEAF_SIZE else 2 * leaf_size)
             more = again.where("paired").select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("of")).distinct()
-            sure = sure.union(judged(more, "near", met_texts))
+            more = judged(more, "near", met_texts)
+            sure = more if sure is None else sure if more is None else sure.union(more)
             long = materialize(possible(again.where("NOT paired").select("shingle", F.col("a").alias("doc_id"), "size", "place").distinct(), least), "long")
-        held = long.limit(1).count() > 0
+            held = long.limit(1).count() > 0
         if held:
             number = F.row_number().over(Window.partitionBy("shingle").orderBy("doc_id"))
             firsts = materialize(long.withColumn("number", number).where(F.col("number") <= opened).select(F.col("shingle").alias("f_shingle"), F.col("doc_id").alias("first"), F.col("size").alias("f_size"), F.col("place").alias("f_place")), "firsts")
             beside = long.join(firsts, F.col("shingle") == F.col("f_shingle")).where((F.col("doc_id") != F.col("first")) & enough_left(F.col("size"), F.col("f_size"), F.col("place"), F.col("f_place"), least))
-            sure = sure.union(judged(beside.select(F.greatest("doc_id", "first").alias("doc_id"), F.least("doc_id", "first").alias("of")).distinct(), "judged", met_texts))
+            more = judged(beside.select(F.greatest("doc_id", "first").alias("doc_id"), F.least("doc_id", "first").alias("of")).distinct(), "judged", met_texts)
+            sure = more if sure is None else sure if more is None else sure.union(more)
             long = long.join(firsts, (F.col("shingle") == F.col("f_shingle")) & (F.col("doc_id") == F.col("first")), "left_anti")
             opened = min(MOST_OPENED, 2 * opened)
-        elif not sure.limit(1).count():
+        if sure is not None and not sure.limit(1).count():
+            sure = None
+        if not held and sure is None:
             break
-        waits = sure.select("doc_id")
-        if held:
-            least_of = long.groupBy(F.col("shingle").alias("l_shingle")).agg(F.min("doc_id").alias("least"))
-            waits = waits.union(long.join(least_of, F.col("shingle") == F.col("l_shingle")).where("doc_id > least").select("doc_id"))
-        waits = waits.distinct().toDF("w_id")
-        gone.append(materialize(sure.join(waits, F.col("of") == F.col("w_id"), "left_anti"), "settled"))
-        out = gone[-1].select(F.col("doc_id").alias("o_id")).distinct()
-        sure = materialize(sure.join(out, F.col("doc_id") == F.col("o_id"), "left_anti").join(out, F.col("of") == F.col("o_id"), "left_anti"), "sure")
+        if sure is not None:
+            waits = sure.select("doc_id")
+            if held:
+                least_of = long.groupBy(F.col("shingle").alias("l_shingle")).agg(F.min("doc_id").alias("least"))
+                waits = waits.union(long.join(least_of, F.col("shingle") == F.col("l_shingle")).where("doc_id > least").select("doc_id"))
+            waits = waits.distinct().toDF("w_id")
+            gone.append(materialize(sure.join(waits, F.col("of") == F.col("w_id"), "left_anti"), "settled"))
+            out = gone[-1].select(F.col("doc_id").alias("o_id")).distinct()
+            sure = materialize(sure.join(out, F.col("doc_id") == F.col("o_id"), "left_anti").join(out, F.col("of") == F.col("o_id"), "left_anti"), "sure")
+            long = long.join(out, F.col("doc_id") == F.col("o_id"), "left_anti") if held else long
         if not held:
             continue
-        long = long.join(out, F.col("doc_id") == F.col("o_id"), "left_anti")
         several = long.groupBy(F.col("shingle").alias("m_shingle")).agg(F.count("*").alias("n")).where("n > 1").select("m_shingle")
         long = materialize(long.join(several, F.col("shingle") == F.col("m_shingle"), "left_semi"), "long")
+        held = long.limit(1).count() > 0
     left = marked.select("doc_id", "digest").distinct().join(texts.select(F.col("digest").alias("t_digest"), F.col("doc_id").alias("of")), F.col("digest") == F.col("t_digest")).where(F.col("doc_id") != F.col("of"))
     if copies is not None:
         stays = copies
         if gone:
-            went = materialize(reduce(DataFrame.union, gone).select(F.col("doc_id").alias("g_id"), F.col("of").alias("g_of")), "went")
+            went = reduce(DataFrame.union, gone).select(F.col("doc_id").alias("g_id"), F.col("of").alias("g_of"))
             stays = copies.join(went, F.col("of") == F.col("g_id"), "left_anti")
             orphans = materialize(copies.join(went, F.col("of") == F.col("g_id")).select("doc_id", F.col("g_of").alias("of")).distinct(), "orphans")
-            if orphans.limit(1).count():
-                found = near_of(orphans, "adopted")
+            if n := orphans.count():
+                found = near_of(orphans, "adopted", n)
                 if orphans.join(found.select(F.col("doc_id").alias("f_id")), F.col("doc_id") == F.col("f_id"), "left_anti").limit(1).count():
                     return near_copies(docs, least, width, leaf_size, early=False)
                 gone.append(found)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from auditspark.llm import components, simhash_trie
 from auditspark.llm import near_dedup as N
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -182,3 +183,24 @@ def test_simhash_groups_spare_the_prefix_filter(spark, monkeypatch):
         assert {r.doc_id for r in tables["early"].collect()} == {11, 12}
         early = {r.id for r in tables["early_keys"].collect()}
         assert len(early) == 2 and not early & {k for r in tables["met"].select("a", "b").collect() for k in (r.a, r.b)}
+
+
+def test_steps_without_rows_write_no_tables(spark, monkeypatch):
+    """Each table is a plan of the driver's, whose memory many plans fill, so steps that have nothing to do make none."""
+    tables = []
+    kept_as = N.materialize
+    for module in (N, simhash_trie, components):
+        monkeypatch.setattr(module, "materialize", lambda df, name="table": tables.append(name) or kept_as(df, name))
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60)), "x") for i in range(40)]
+    rows += [(100 + i, rows[i][1], "copy") for i in range(5)]
+    kept = N.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+    assert tables.count("edges") == 1 and not {"shared_ids", "near", "judged", "settled", "sure"} & set(tables) and len(tables) <= 18
+
+    tables.clear()
+    base = [f"w{k}" for k in range(300)]
+    rows += [(200, " ".join(base), "x"), (201, " ".join([*base, "end"]), "near"), (202, " ".join([*base[:100], "new", *base[101:]]), "near")]
+    kept = N.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(40), 200]
+    assert not {"likely_ids", "early_ids", "went"} & set(tables)
