@@ -30,7 +30,8 @@ def near_duplicate_pairs(hashes: DataFrame, least_bits: int = 5, bucket_bits: in
 
 
 def near_duplicate_pairs_global(hashes: DataFrame, least_bits: int = 5) -> DataFrame:
-    """a, b, bits of all hashes(id, h) that differ in fewer than least_bits bits, whatever bucket they are in.
+    """a, b, bits of all hashes(id, h) that differ in fewer than least_bits bits, whatever bucket they are in. Equal hashes are met once,
+    by their least id; near_duplicate_links_global tells their copies too.
 
     Up to least_bits 3 such a pair is one hash if a bit at most is changed in each, so pairs meet on hashes with one changed bit, of
     those bits that differ between any. Beyond that, of least_bits segments of a hash such a pair has one in common.
@@ -54,6 +55,17 @@ def near_duplicate_pairs_global(hashes: DataFrame, least_bits: int = 5) -> DataF
     return met.where(bits < least_bits).select("a", "b", bits.cast("int").alias("bits")).distinct()
 
 
+def near_duplicate_links_global(hashes: DataFrame, least_bits: int = 5) -> DataFrame:
+    """a, b, bits: the pairs of near_duplicate_pairs_global between the least ids of equal hashes, and for each other id b of a hash its
+    least one as a, with 0 bits. Every row that is near another is there, and any two near rows are near by their least ids.
+
+    The least id of each hash is an aggregate that joins back, so a hash of very many rows is no group of one task and makes no pairs.
+    """
+    first = hashes.where(F.col("h").isNotNull()).groupBy(F.col("h").alias("h_a")).agg(F.min("id").alias("a"))
+    copies = hashes.join(first, F.col("h") == F.col("h_a")).where(F.col("id") != F.col("a"))
+    return near_duplicate_pairs_global(hashes, least_bits).unionByName(copies.select("a", F.col("id").alias("b"), F.lit(0).alias("bits")))
+
+
 def greedy_near_duplicates(hashes: DataFrame, least_bits: int = 5, bucket_bits: int = 16) -> DataFrame:
     """id, kept: in order of id a hash stays if it is not near one that stays in its bucket, and all copies follow the first.
 

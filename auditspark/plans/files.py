@@ -49,10 +49,10 @@ def near_dup_greedy(spark, d):
     return quality.greedy_near_duplicates(_hashes(spark, d), 5, 48)
 
 
-@query(f"WITH {H}, k AS (SELECT h, min(id) AS id FROM h GROUP BY h) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM k a JOIN k b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) < 3")
+@query(f"WITH {H}, k AS (SELECT h, min(id) AS id FROM h GROUP BY h) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM k a JOIN k b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) < 3 UNION ALL SELECT k.id, h.id, 0 FROM h JOIN k ON h.h = k.h WHERE h.id != k.id")
 def near_dup_global(spark, d):
-    """All near pairs, whatever bucket they are in."""
-    return quality.near_duplicate_pairs_global(_hashes(spark, d), 3)
+    """All near pairs of hashes, whatever bucket they are in, by the least id of each, and each copy of a hash beside that id."""
+    return quality.near_duplicate_links_global(_hashes(spark, d), 3)
 
 
 ISSUES = "list_filter([CASE WHEN p_retailprice / 300 < 3 THEN 'file_too_small' END, CASE WHEN p_size % 17 = 0 THEN 'corrupt' END, CASE WHEN p_size % 17 > 0 AND least(p_size * 10, p_partkey % 900) < 100 THEN 'too_small' END, CASE WHEN p_size % 17 > 0 AND p_partkey % 900 > 0 AND (p_size * 10 / (p_partkey % 900)::DOUBLE < 0.2 OR p_size * 10 / (p_partkey % 900)::DOUBLE > 8) THEN 'odd_ratio' END, CASE WHEN p_partkey % 7 * 10 < 50 THEN 'blank' END], lambda x: x IS NOT NULL)"

@@ -95,3 +95,16 @@ def test_hashes_of_few_bits_do_not_all_meet(spark, least_bits):
     found = quality.near_duplicate_pairs_global(spark.createDataFrame(rows, "id long, h long"), least_bits)
     assert {tuple(r) for r in found.collect()} == want
     assert "shiftrightunsigned" not in found._jdf.queryExecution().toString()
+
+
+def test_copies_of_a_hash_are_told_beside_the_pairs_of_hashes(spark, against_sql):
+    from auditspark.operators import quality
+
+    rows = [(4, 0), (1, 0), (7, 3), (9, 3), (8, 3), (5, 1 << 20), (6, None), (2, None)]
+    found = {tuple(r) for r in quality.near_duplicate_links_global(spark.createDataFrame(rows, "id long, h long"), 3).collect()}
+    assert found == {(1, 4, 0), (7, 8, 0), (7, 9, 0), (1, 7, 2), (1, 5, 1)}
+    first = {h: min(i for i, g in rows if g == h) for _, h in rows if h is not None}
+    near = {(first[g], first[h]) for i, g in rows for j, h in rows if i < j and None not in (g, h) and (g ^ h).bit_count() < 3}
+    assert all(a == b or (min(a, b), max(a, b)) in {(a, b) for a, b, _ in found} for a, b in near)
+    vectors = "SELECT i::BIGINT AS vec_id, [((i % 4 + 2) * (j + 3) % 7 - 3)::FLOAT FOR j IN range(64)] AS embedding, 1 AS label FROM range(12) r(i)"
+    assert sum(r[2] == "0" for r in against_sql("near_dup_global", embeddings=vectors)) == 8
