@@ -61,3 +61,11 @@ def write_files(rows: DataFrame, path: str) -> None:
     rows.sparkSession.dataSource.register(FileLayout)
     with arrow_rows(rows.sparkSession, FILES_AT_ONCE):
         rows.select("file", "content", "text").write.format("file_layout").mode("append").save(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, content of all files below such a folder, listed in the tasks (see file_layout)."""
+    from .file_layout import READ_SCHEMA, FileLayout
+
+    spark.dataSource.register(FileLayout)
+    return spark.read.format("file_layout").schema(READ_SCHEMA).load(path)

@@ -108,3 +108,24 @@ def test_copies_of_a_hash_are_told_beside_the_pairs_of_hashes(spark, against_sql
     assert all(a == b or (min(a, b), max(a, b)) in {(a, b) for a, b, _ in found} for a, b in near)
     vectors = "SELECT i::BIGINT AS vec_id, [((i % 4 + 2) * (j + 3) % 7 - 3)::FLOAT FOR j IN range(64)] AS embedding, 1 AS label FROM range(12) r(i)"
     assert sum(r[2] == "0" for r in against_sql("near_dup_global", embeddings=vectors)) == 8
+
+
+def test_files_are_listed_in_the_tasks_and_each_is_read_once(spark, tmp_path, monkeypatch):
+    from auditspark.plans import media
+    from auditspark.sources import file_layout, sinks
+
+    plan = media.files_with_twins(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryFileIndex" not in plan and "binaryFile" not in plan.lower()
+    at = tmp_path / "out"
+    names = [f"{k % 2}/{k % 3}/{k} ä+%20.txt" for k in range(100)] + ["_top", ".dot", "0/empty"] + [f"many/{k}" for k in range(500)]
+    for name in [*names, "_staging-1/no"]:
+        (at / name).parent.mkdir(parents=True, exist_ok=True)
+        (at / name).write_bytes(name.encode() if "empty" not in name else b"")
+    assert sorted((r.file, bytes(r.content)) for r in sinks.read_files(spark, str(at)).collect()) == sorted((n, n.encode() if "empty" not in n else b"") for n in names)
+    monkeypatch.setattr(file_layout, "FILES_A_TASK", 60)
+    reader = file_layout.FileLayoutReader(str(at), ["file"])
+    slices = reader.partitions()
+    read = [[f for b in reader.read(s) for f in b.column("file").to_pylist()] for s in slices]
+    assert sorted(f for part in read for f in part) == sorted(names) and max(map(len, read)) < 120 and len(slices) > 9
+    (tmp_path / "none").mkdir()
+    assert sinks.read_files(spark, str(tmp_path / "none")).collect() == []
